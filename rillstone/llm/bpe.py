@@ -13,6 +13,8 @@ import functools
 import hashlib
 import heapq
 import json
+import re
+import struct
 import unicodedata
 
 import pyarrow as pa
@@ -24,13 +26,25 @@ from tokenizers import Tokenizer
 from .common import map_arrow
 
 SHORT = 128
-#: Words kept by a worker; about 0.3 KB each.
-KEPT = 200_000
+#: Bits of an id beside its merge's rank, and the rank of a pair that has none.
+WIDTH = 20
+ID = (1 << WIDTH) - 1
 NEVER = 1 << 60
+#: Words that a worker keeps; twice as many at most, of about 0.3 KB each.
+KEPT = 200_000
+#: Longer ones are not kept.
+LONGEST = 64
 #: The code points with the property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
 
+#: The alternative of the split pattern that takes runs of letters.
+LETTERS = "[\\p{L}]+"
+#: Letters on which the libraries need not be compared, and those at which str.split() cuts although they are no white space here.
+BEYOND = re.compile("[^\x00-\u024f]")
+SEPARATORS = re.compile("[\x1c-\x1f]")
+
+
 def byte_letters() -> list[str]:
     """The printable letter of each byte: itself if it is visible in Latin-1, else one from U+0100 on, in order."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -38,28 +52,53 @@ def byte_letters() -> list[str]:
     return [chr(b if b in visible else next(free)) for b in range(256)]
 
 
+class Kept(dict):
+    """A table of what ``make`` gave for a key. A full table becomes the old one, from which what is asked for again comes back."""
+
+    def __init__(self, make, most: int = KEPT):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key: str):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= LONGEST:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key: str, value) -> None:
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
 class WordBPE:
     """Encodes and decodes as the file's tokenizer does, without special tokens of its own around the text."""
 
-    def __init__(self, path: str, kept: int = KEPT):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        # the rank above the new id, so that the smallest number is the smallest rank
+        self.merges: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+            self.merges.setdefault((vocab[left], vocab[right]), rank << WIDTH | vocab[left + right])
         letters = byte_letters()
         self.inner = [vocab[c] for c in letters]
         self.last = [vocab[c + self.suffix] for c in letters]
-        self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")")
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern.replace("\\s", WHITE))
-        self.white = regex.compile(f"[{WHITE}]+")
-        self.kept, self.known = kept, {}
+        # Letters are all that is left between the other kinds of word: with blanks around those, a text's words are its parts between blanks.
+        others = [x for x in pattern.replace("\\s", WHITE).split("|") if x != LETTERS]
+        self.others = regex.compile("|".join(others))
+        self.known = Kept(self.word)
         # Libraries differ in their Unicode version: a letter on which they disagree sends its text through the file's own splitter.
         own = Tokenizer.from_file(path)
         self.own_normal, self.own_split = own.normalizer.normalize_str, own.pre_tokenizer.pre_tokenize_str
@@ -68,10 +107,10 @@ class WordBPE:
         self.odd: set[str] = set()
 
     def normal(self, text: str) -> str:
-        """NFC, runs of white space as one blank, lower case letter by letter."""
+        """NFC, lower case letter by letter; white space is left as it is, as the split drops it."""
         if text.isascii():
-            return text.lower()  # white space is dropped by the split
-        text = self.white.sub(" ", unicodedata.normalize("NFC", text))
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
         low = text.lower()
         if "Σ" in text:  # lower() looks at its neighbours
             low = "".join(map(str.lower, text))
@@ -79,7 +118,7 @@ class WordBPE:
 
     def split(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
-        if not text.isascii() and (new := set(text) - self.agreed):
+        if not text.isascii() and BEYOND.search(text) and (new := set(text) - self.agreed):
             for c in new - self.odd:
                 probe = f"a{c}b{c}{c}1"
                 ours = ["".join(self.letters[b] for b in w.encode()) for w in self.words.findall(self.normal(probe))]
@@ -87,31 +126,32 @@ class WordBPE:
                 (self.agreed if same else self.odd).add(c)
             if new & self.odd:
                 return [bytes(self.byte_of[c] for c in w).decode() for w, _ in self.own_split(self.own_normal(text))]
-        return self.words.findall(self.normal(text))
+        text = self.normal(text)
+        return self.words.findall(text) if SEPARATORS.search(text) else self.others.sub(r" \g<0> ", text).split()
 
     def merge(self, ids: list[int]) -> list[int]:
         """The parts that are left when the pair of least rank, the leftmost of equals, is joined again and again."""
         if len(ids) > SHORT:
             return self.merge_long(ids)
-        get, none = self.merges.get, (NEVER, 0)
-        ranks = [get(p, none) for p in zip(ids, ids[1:])]
+        get = self.merges.get
+        ranks = [get(p, NEVER) for p in zip(ids, ids[1:])]
         while ranks:
             best = min(ranks)
-            if best[0] == NEVER:
+            if best == NEVER:
                 break
             i = ranks.index(best)
-            ids[i] = best[1]
+            ids[i] = best & ID
             del ids[i + 1], ranks[i]
             if i:
-                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
+                ranks[i - 1] = get((ids[i - 1], ids[i]), NEVER)
             if i < len(ranks):
-                ranks[i] = get((ids[i], ids[i + 1]), none)
+                ranks[i] = get((ids[i], ids[i + 1]), NEVER)
         return ids
 
     def merge_long(self, ids: list[int]) -> list[int]:
         n, get = len(ids), self.merges.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
+        heap = [(m >> WIDTH, i, ids[i], ids[i + 1], m & ID) for i in range(n - 1) if (m := get((ids[i], ids[i + 1])))]
         heapq.heapify(heap)
         while heap:
             _, i, a, b, new = heapq.heappop(heap)
@@ -124,29 +164,27 @@ class WordBPE:
                 before[after[j]] = i
             for x in (before[i], i):
                 if x >= 0 and (y := after[x]) < n and (m := get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (m[0], x, ids[x], ids[y], m[1]))
+                    heapq.heappush(heap, (m >> WIDTH, x, ids[x], ids[y], m & ID))
         return [x for x in ids if x >= 0]
 
     def word(self, word: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and their names joined by blanks."""
         raw = word.encode()
         ids = self.merge([self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]])
-        out = b"".join(i.to_bytes(4, "little") for i in ids), " ".join(self.names[i] for i in ids)
-        if len(word) <= 64:
-            if len(self.known) >= self.kept:
-                self.known.clear()
-            self.known[word] = out
-        return out
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
+
+    def cuts(self, text: str) -> list[str]:
+        """The text cut at special tokens, which stand at the odd places."""
+        return self.cut.split(text) if "<|" in text else [text]
 
     def parts(self, text: str) -> list[tuple[bytes, str]]:
         """(ids, names) of each word and special token of a whole text."""
-        out = []
-        for k, piece in enumerate(self.cut.split(text)):
+        out, known = [], self.known
+        for k, piece in enumerate(self.cuts(text)):
             if k % 2:
                 out.append((self.special[piece].to_bytes(4, "little"), piece))
             elif piece:
-                get = self.known.get
-                out += [get(w) or self.word(w) for w in self.split(piece)]
+                out += [known[w] for w in self.split(piece)]
         return out
 
     def encode(self, text: str) -> bytes:
