@@ -1,0 +1,370 @@
+"""Each operator against a plain version of its contract, on rows made to be hard for it."""
+
+import collections
+import hashlib
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from rillstone.llm import bpe, chat, linededup, media, packing, secrets, simhash, topk, warc
+from rillstone.llm.queries import vocabulary
+
+DOCS = "doc_id long, text string, ids string, piece string, n_lines string, base string"
+
+
+def docs_of(spark, texts, first=0):
+    """Rows with columns whose names the operators use themselves."""
+    return spark.createDataFrame([(first + i, t, "x", "y", "z", "w") for i, t in enumerate(texts)], DOCS)
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    return Tokenizer.from_file(vocabulary())
+
+
+HARD = ["", None, "a", " \n\t", "the quick brown fox's 12½ Ⅷ σΣ İ", "<|endoftext|>x<|startoftext|>", "é́é 日本😀", "x" * 3000, "a\x1cb\x1fc \U000323b5", "same text", "same text", "word " * 9000]
+
+
+def random_texts(n, seed=1):
+    r = random.Random(seed)
+    letters = list("aAbBsSdDtT lL\n\t.,!<|>01ÉéßΣσçñ日本😀̧́　 '\x1cՠ²½Ⅷ") + ["'s", "'re ", "the ", "<|endoftext|>"]
+    return ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(n)]
+
+
+def ids_of(tokenizer, text):
+    return np.array(tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4")
+
+
+def test_bpe_is_the_library(spark, tokenizer):
+    texts = HARD + random_texts(400)
+    got = {r["doc_id"]: r for r in bpe.bpe_digests(docs_of(spark, texts), vocabulary()).collect()}
+    for i, t in enumerate(texts):
+        ids = ids_of(tokenizer, t)
+        decoded = tokenizer.decode(ids.tolist(), skip_special_tokens=False)
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()), t
+    whole = bpe.encode_texts(docs_of(spark, texts), vocabulary())
+    back = {r["doc_id"]: r["text"] for r in bpe.decode_ids(whole, vocabulary()).collect()}
+    assert back == {r["doc_id"]: r["decoded"] for r in whole.collect()}
+
+
+def test_long_words_merge_alike():
+    own = bpe.WordBPE(vocabulary())
+    r = random.Random(2)
+    for _ in range(50):
+        raw = [own.inner[r.choice(b"abcdeinth")] for _ in range(r.randint(2, 100))]
+        assert own.merge(list(raw)) == own.merge_long(list(raw))
+
+
+def checked_packing(rows, expected, capacity):
+    """Every piece once, its place gapless; returns the count of sequences."""
+    places = collections.defaultdict(list)
+    by_doc = collections.defaultdict(list)
+    for r in rows:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+        by_doc[r["doc_id"]].append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+    for held in places.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert {d: sorted(p) for d, p in by_doc.items()} == expected
+    return len(places)
+
+
+def test_packing(spark, tokenizer):
+    texts = HARD + ["lorem ipsum " * r for r in range(1, 400, 7)] + ["dolor sit amet "] * 50
+    expected = {}
+    for i, t in enumerate(texts):
+        raw = np.append(ids_of(tokenizer, t), 1).astype("<u4")
+        expected[i] = [(n, a, len(raw[a : a + 4096]), zlib.crc32(raw[a : a + 4096].tobytes())) for n, a in enumerate(range(0, len(raw), 4096))]
+    rows = packing.packed(docs_of(spark, texts).repartition(5), vocabulary()).collect()
+    used = checked_packing(rows, expected, 4096)
+    assert used == -(-sum(p[2] for ps in expected.values() for p in ps) // 4096)
+    assert packing.packed(docs_of(spark, texts).where("false"), vocabulary()).count() == 0
+
+
+def test_bin_completion_is_optimal_on_small_cases():
+    def least(items, capacity):
+        best = len(items)
+
+        def go(k, bins):
+            nonlocal best
+            if len(bins) >= best:
+                return
+            if k == len(items):
+                best = len(bins)
+                return
+            for i in range(len(bins)):
+                if bins[i] + items[k] <= capacity:
+                    bins[i] += items[k]
+                    go(k + 1, bins)
+                    bins[i] -= items[k]
+            go(k + 1, [*bins, items[k]])
+
+        go(0, [])
+        return best
+
+    r = random.Random(5)
+    for _ in range(150):
+        capacity = r.choice([10, 30, 100])
+        items = sorted((r.randint(1, capacity) for _ in range(r.randint(0, 10))), reverse=True)
+        found = packing.pack(collections.Counter(items), capacity)
+        held = collections.Counter()
+        for pattern, times in found:
+            assert sum(pattern) <= capacity
+            for s in pattern:
+                held[s] += times
+        assert held == collections.Counter(items)
+        assert sum(t for _, t in found) == least(items, capacity)
+
+
+@pytest.mark.parametrize("shape", ["random", "ties", "clusters"])
+def test_threshold_algorithm(shape):
+    r = np.random.default_rng(3)
+    for _ in range(20):
+        n, m, d, k = int(r.integers(1, 400)), int(r.integers(1, 20)), int(r.integers(1, 9)), int(r.integers(1, 25))
+        x = r.integers(-2, 3, (n, d)) if shape == "ties" else r.integers(-60, 60, (n, d))
+        if shape == "clusters":
+            x = x // 20 + 40 * r.integers(-1, 2, (n, 1))
+        q = x[r.integers(0, n, m)]
+        own = r.integers(-1, n, m)
+        score, place, _ = topk.threshold_topk(q, x, own, k, first=4)
+        for i in range(m):
+            all_ = sorted((-int(q[i] @ x[j]), j) for j in range(n) if j != own[i])[:k]
+            assert [(-int(s), int(p)) for s, p in zip(score[i], place[i]) if p >= 0] == all_
+
+
+def test_threshold_algorithm_stops_early():
+    r = np.random.default_rng(4)
+    x = r.integers(-5, 6, (20_000, 8))
+    x[:30] *= 20
+    _, _, scored = topk.threshold_topk(x[:10], x, np.full(10, -1), 3)
+    assert scored < 10 * 20_000 / 3
+
+
+def test_top_k(spark):
+    r = random.Random(6)
+    rows = [(i, [r.choice([-1.0, -0.3, 0.0, 0.3, 0.51]) for _ in range(4)], "a") for i in range(300)]
+    rows += [(300 + i, [0.5, 0.5, 0.5, 0.5], "a") for i in range(100)] + [(1000, None, "a"), (1020, [None, 1.0, 1.0, 1.0], "a"), (1040, [float("nan")] * 4, "a"), (1060, [], "a"), (1080, [float("inf")] * 4, "a"), (None, [1.0] * 4, "a")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
+    got = collections.defaultdict(list)
+    for x in topk.top_k(df, lambda i: i % 20 == 0, candidates=64, queries=8).orderBy("query_id", "rank").collect():
+        got[x["query_id"]].append((x["vec_id"], x["score"]))
+        assert x["rank"] == len(got[x["query_id"]])
+    whole = {i: [math.floor(64 * float(np.float32(c))) for c in v] for i, v, _ in rows[:400]}
+    assert set(got) == {i for i in whole if i % 20 == 0}
+    for i, found in got.items():
+        assert found == [(j, -s) for s, j in sorted((-sum(a * b for a, b in zip(whole[i], v)), j) for j, v in whole.items() if j != i)[:20]]
+    assert topk.top_k(df.where("false"), lambda i: i % 20 == 0).count() == 0
+
+
+def test_media(spark):
+    texts = HARD + ["x" * 192, "y" * 400_000, "y" * 3_000_000]
+    rows = {r["doc_id"]: r for r in media.media_digests(docs_of(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+        stored = media.wav(payload)
+        r = rows[i]
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+    assert rows[0]["feature"] == rows[1]["feature"] and rows[9]["feature"] == rows[10]["feature"]
+
+
+def test_companding_tables_and_adpcm():
+    assert media.mulaw_table()[[0, 127, 128, 255]].tolist() == [-32124, 0, 32124, 0]
+    assert media.alaw_table()[[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
+    r = np.random.default_rng(1)
+    blocks = r.integers(0, 256, (20, 36)).astype(np.uint8)
+    blocks[:, 2] %= 89
+    for block, out in zip(blocks, media.adpcm_blocks(blocks)):
+        value, index = int.from_bytes(block[:2].tobytes(), "little", signed=True), int(block[2])
+        plain = [value]
+        for byte in block[4:].tolist():
+            for code in (byte & 15, byte >> 4):
+                step = media.STEPS[index]
+                move = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                value = max(-32768, min(32767, value - move if code & 8 else value + move))
+                index = max(0, min(88, index + [-1, -1, -1, -1, 2, 4, 6, 8][code & 7]))
+                plain.append(value)
+        assert out.tolist() == plain
+
+
+def test_store_pcm(spark):
+    files = [media.wav(bytes(range(256)) * 3, tag, align=align, bits=bits) for tag, align, bits in ((media.MULAW, 1, 8), (media.ALAW, 1, 8), (media.PCM, 2, 16), (media.ADPCM, 192, 4))] + [None, b"", b"RIFFxxxxWAVE"]
+    rows = {r["id"]: r for r in media.store_pcm(spark.createDataFrame(list(enumerate(files)), "id int, media binary"), "id", "media").collect()}
+    assert all(rows[i]["error"] is None for i in range(4)) and all(rows[i]["pcm"] is None and rows[i]["error"] for i in (4, 5, 6))
+    tag, rate, _, data = media.read_wav(bytes(rows[0]["pcm"]))
+    assert (tag, rate, len(data)) == (media.PCM, 16000, 768 * 4)
+
+
+def test_chat(spark):
+    marks = ["<|im_end|>", "<|im_start|>", "<\\|", "<", "|", "\\", "\n", "assistant", "😀", " ", "x"]
+    r = random.Random(7)
+    rows = [(c, t, r.choice(["user", "assistant", "system", "a\\\nb", "<|im_start|>"]), "".join(r.choice(marks) for _ in range(r.randint(0, 9)))) for c in range(300) for t in range(r.randint(1, 6))]
+    rows += [(1000, 0, "user", None), (1000, 0, "user", None), (1001, None, None, "x"), (None, 0, "user", "y"), (1002, 0, "user", "long " * 50_000), (1002, 1, "assistant", "ok")]
+    df = spark.createDataFrame([(*x, "s") for x in rows], "conv_id long, turn long, role string, text string, segments string")
+    chats = collections.defaultdict(list)
+    for c, t, role, text in rows:
+        chats[c].append((t is not None, t or 0, role or "", text or ""))
+    for x in chat.chat_digests(df).collect():
+        turns = [(role, text) for _, _, role, text in sorted(chats[x["conv_id"]])]
+        assert x["n_turns"] == len(turns)
+        assert x["turns_sha256"] == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
+        loss = "".join(b for a, b in turns if a == "assistant")
+        assert (x["loss_chars"], x["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        ways = {"": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
+        states = ["", *(a for a, _ in turns)]
+        assert x["valid"] == (all(b in ways.get(a, ()) for a, b in zip(states, states[1:])) and states[-1] == "assistant")
+    assert chat.chat_digests(df.where("false")).count() == 0
+
+
+ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+
+
+def base_spans(text):
+    out = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
+    out += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+def test_secret_spans(spark):
+    r = random.Random(3)
+    parts = ["password", ": ", "=", '"', "'", "token", "API_KEY", "apikey", "AKIA", "ABCDEFGH12345678", "deadbeef01234567", "0123456789abcdef", "é", "😀", "\n", " ", "\x01", "\x02", "x.y-z", "secret", "PassWd", "a1+/="]
+    texts = ["".join(r.choice(parts) for _ in range(r.randint(0, 40))) for _ in range(1000)] + HARD + ["token=abcdefgh " * 20_000, "a" * 100_000, "Zk8sQ2" * 20_000]
+    rows = secrets.secret_digests(docs_of(spark, texts)).collect()
+    assert len(rows) == len(texts)
+    for x in rows:
+        want = base_spans(texts[x["doc_id"]] or "")
+        said = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in want)
+        assert x["base_sha256"] == hashlib.sha256(said.encode()).hexdigest()
+        assert [x["n_assign"], x["n_access"], x["n_hex"]] == [sum(k == j for _, k, _ in want) for j in range(3)]
+        assert {s for s in said.split(",") if s} <= set(x["spans"].split(","))
+
+
+def test_entropy_is_incremental_and_exact(spark):
+    r = random.Random(4)
+    found = ["".join(r.choice("abcdef0123456789" if r.random() < 0.5 else "ABCxyz019+/") for _ in range(r.randint(20, 60))) for _ in range(200)]
+
+    def bits(w):
+        return -sum(c / len(w) * math.log2(c / len(w)) for c in collections.Counter(w).values())
+
+    for x in spark.createDataFrame([(c,) for c in found], "c string").select("c", secrets.least_sum(F.col("c")).alias("low")).collect():
+        want = max(bits(x["c"][i : i + 20]) for i in range(len(x["c"]) - 19))
+        assert abs(math.log2(20) - x["low"] / 2**20 / 20 - want) < 1e-6
+
+
+def test_allow_list_and_redaction(spark):
+    texts = ["key 9fQx2LmZ7pTb4VwK8rYc here", "Donaudampfschifffahrtsgesellschaft", "123e4567-e89b-12d3-a456-426614174000", "1234567890123456789012345", "token=abcdefgh and token=ijklmnop", None, ""]
+    rows = {r["doc_id"]: r["text"] for r in secrets.redacted(docs_of(spark, texts)).collect()}
+    assert [rows[i] for i in range(7)] == ["key [REDACTED] here", *texts[1:4], "[REDACTED] and [REDACTED]", None, ""]
+
+
+def test_golay_code_is_perfect():
+    words = np.arange(1 << 23)
+    index = simhash.codeword_index(words)
+    assert (np.bincount(index) == 2048).all()
+    r = np.random.default_rng(0)
+    a = r.integers(0, 1 << 23, 2000)
+    b = a ^ (1 << r.integers(0, 23, 2000)) ^ (1 << r.integers(0, 23, 2000))
+    keys = [set() for _ in range(4000)]
+    for row, x in zip(*simhash.near_indices(np.concatenate([a, b]))):
+        keys[row].add(int(x))
+    assert max(map(len, keys)) <= 6 and all(keys[i] & keys[2000 + i] for i in range(2000))
+
+
+def plain_print(text):
+    words = [w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for w in re.findall(r"[^\x20\x09-\x0D]+", text or "")]
+    runs = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in runs]
+    return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
+
+
+def test_simhash_groups(spark):
+    r = random.Random(8)
+    words = [f"W{i}é" for i in range(500)]
+    texts = list(HARD) + [" ", "A b", "a B"]
+    for _ in range(60):
+        base = [r.choice(words) for _ in range(r.randint(1, 300))]
+        for _ in range(r.randint(1, 8)):
+            own = list(base)
+            for _ in range(r.randint(0, 2)):
+                own[r.randrange(len(own))] = r.choice(words)
+            texts.append(" ".join(own))
+    prints = [plain_print(t) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 2 and find(i) != find(j):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    for meet in (128, 1):
+        rows = {x["doc_id"]: x for x in simhash.groups(docs_of(spark, texts), meet=meet).collect()}
+        assert [rows[i]["print"] % (1 << 64) for i in range(len(texts))] == prints
+        assert [rows[i]["component_id"] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    assert simhash.group_digests(docs_of(spark, texts).where("false")).count() == 0
+
+
+def test_line_dedup(spark):
+    r = random.Random(9)
+    lines = ["short", "a line of twelve", " A LINE of twelve\t", "é" * 10, "x" * 9, "", "another long line", "one more line here", " not stripped here"]
+    texts = ["\n".join(r.choice(lines) for _ in range(r.randint(0, 12))) for _ in range(200)] + ["", None, "a line of twelve\n" * 30_000]
+    keys = [[re.sub(r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "", x).translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")) for x in (t or "").split("\n")] for t in texts]
+    held = collections.defaultdict(set)
+    for i, k in enumerate(keys):
+        for x in k:
+            held[x].add(i)
+    for batches in (1, 4):
+        rows = {x["doc_id"]: x for x in linededup.dedup_lines(docs_of(spark, texts), batches=batches).collect()}
+        for i, t in enumerate(texts):
+            kept = [line for line, k in zip((t or "").split("\n"), keys[i]) if len(k) < 10 or len(held[k]) < 2 or min(held[k]) == i]
+            assert (rows[i]["text"] or "") == "\n".join(kept)
+            assert (rows[i]["n_lines"], rows[i]["n_dropped"]) == (len(keys[i]), len(keys[i]) - len(kept))
+            assert rows[i]["ids"] == "x"
+    assert linededup.line_digests(docs_of(spark, texts).where("false")).count() == 0
+    twice = linededup.dedup_lines(docs_of(spark, ["a line of twelve\nx"] * 2).withColumn("doc_id", F.lit(1).cast("long")))
+    assert [x["n_dropped"] for x in twice.collect()] == [0, 0]
+
+
+def test_warc(spark):
+    long = "h" * 100
+    htmls = [long, long, "short", "short", None, "", "é\r\n\r\nWARC/1.1\r\n" * 30, "y" * 2_000_000, long, "<|\n" * 99]
+    urls = ["http://a/ b", None, "", "http://c/\n"] + ["http://d"] * 6
+    df = spark.createDataFrame([(i, u, h, "r") for i, (u, h) in enumerate(zip(urls, htmls))], "page_id long, url string, html string, first string")
+    path = warc.archive(df, per_file=3)
+    rows = {x["page_id"]: x for x in warc.read_archives(spark, path).collect()}
+    assert sorted(rows) == list(range(len(htmls)))
+    for i, h in enumerate(htmls):
+        raw = (h or "").encode()
+        assert (rows[i]["payload_bytes"], rows[i]["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
+    assert {i: x["refers_to"] for i, x in rows.items() if x["record_type"] == "revisit"} == {1: 0, 8: 0}
+    assert warc.archive_digests(df.where("false")).count() == 0
+
+
+def test_arc_versions_and_errors(spark):
+    body = b"one\n\nhttp://x 0.0.0.0 20000101000000 text/html 3\nabc"
+    files = []
+    for version in (1, 2):
+        files.append(warc.arc_file_header(version) + warc.arc_record(version, "http://a", body, date="19991231") + warc.arc_record(version, "http://b", b"", kind="text/html; charset=x"))
+    files += [files[0][:-10], b"junk\n", None, b""]
+    rows = warc.convert_arc(spark.createDataFrame([(f,) for f in files], "content binary")).collect()
+    good = [r for r in rows if r["error"] is None]
+    assert [r["uri"] for r in good].count("http://a") == 3 and [r["uri"] for r in good].count("http://b") == 2
+    assert good[0]["date"] == "1999-12-31T00:00:00Z"
+    head, block = next(warc.warc_records(iter([bytes(good[0]["record"])])))
+    assert warc.payload_of(block) == body and head["WARC-Type"] == "response"
+    assert sum(r["error"] is not None for r in rows) == 3
