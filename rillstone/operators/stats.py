@@ -89,12 +89,14 @@ class Statistics(Ordered):
     # ---- frequency and distribution
 
     def frequency(self, key: Callable | None = None) -> DataFrame:
-        """key, counts (array of index, 1), spans (array of index, length): where each key stands; the length is its last index + 1."""
+        """key, counts (array of index, 1), spans (array of index, length): where each key stands; the length is the stream's last index + 1."""
         s = self.s.stored()
         k = (key or (lambda v: v))(F.col(VALUE))
         got = s.df.groupBy(*s.by, k.alias("key")).agg(F.array_sort(F.collect_list(IDX)).alias("_at"))
+        length = (F.max(IDX) + 1).cast("double").alias("_length")
+        got = got.join(s.df.groupBy(*s.by).agg(length), list(s.by)) if s.by else got.withColumn("_length", s.df.agg(length).scalar())
         part = lambda x: F.transform("_at", lambda i: F.struct(i.cast("double").alias("re"), x.alias("im")))
-        return got.select(*s.by, "key", part(F.lit(1.0)).alias("counts"), part((F.element_at("_at", -1) + 1).cast("double")).alias("spans"))
+        return got.select(*s.by, "key", part(F.lit(1.0)).alias("counts"), part(F.col("_length")).alias("spans"))
 
     def distribute(self, key: Callable | None = None) -> DataFrame:
         """key, re, im: how far the sum of a key's indices, and its count, stand from the most frequent of either, in root mean squares over the keys (1 if below 0.001). Two aggregations; the centres are scalars."""
@@ -137,7 +139,7 @@ class Statistics(Ordered):
             return rows.groupBy(*by).applyInPandas(whole, fields)
         n = rows.count()
         if n <= ONE_TASK:
-            return rows.groupBy(F.lit(0)).applyInPandas(whole, fields)
+            return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(whole, fields)
         return long_transform(rows, n, padded, inverse)
 
     def dft(self) -> DataFrame:

@@ -377,7 +377,7 @@ def stats_mode(spark, sf_dir):
     return events(spark, sf_dir, "user_id", "event_type").to_statistics().mode()
 
 
-@query("SELECT event_type AS key, array_to_string(list(i ORDER BY i), ',') AS places, CAST(max(i) + 1 AS BIGINT) AS span FROM (SELECT event_type, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) GROUP BY event_type")
+@query("SELECT event_type AS key, array_to_string(list(i ORDER BY i), ',') AS places, max(n) AS span FROM (SELECT event_type, row_number() OVER (ORDER BY event_id) - 1 AS i, count(*) OVER () AS n FROM events) GROUP BY event_type")
 def stats_frequency(spark, sf_dir):
     got = events(spark, sf_dir, "event_type").to_statistics().frequency()
     return got.select("key", F.array_join(F.transform("counts", lambda x: x["re"].cast("long").cast("string")), ",").alias("places"), F.element_at("spans", -1)["im"].cast("long").alias("span"))

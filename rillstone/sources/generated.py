@@ -67,7 +67,7 @@ class Unbounded:
     def sub(self, start: int, end: int) -> Stream:
         return self.make(max(0, end)).sub(start, end)
 
-    def take_while(self, p: Callable, first: int = 1024, most: int = 1 << 30) -> Stream:
+    def take_while(self, p: Callable, first: int = 16, most: int = 1 << 30) -> Stream:
         """The values before the first that fails p, made in steps of twice the length until one does."""
         n = first
         while n <= most:

@@ -58,6 +58,8 @@ def count_windows(df: DataFrame, key: str, value: str, size: int, order: str) ->
 def event_windows(df: DataFrame, time: str, late: str, size: str, step: str | None = None, by: list[str] | None = None, *aggs: Column) -> DataFrame:
     """Aggregates per window of event time, with a watermark."""
     window = F.window(time, size, step) if step else F.window(time, size)
+    if dict(df.dtypes)[time] != "timestamp":
+        df = df.withColumn(time, F.col(time).cast("timestamp"))
     return df.withWatermark(time, late).groupBy(window, *(by or [])).agg(*aggs)
 
 
