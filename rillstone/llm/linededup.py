@@ -80,7 +80,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row")).where(F.col("doc_id").isNotNull())
-    bounds = sorted({int(x) for x in (rows.select(F.col("doc_id").cast("double")).approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) or [])})
+    bounds = sorted(set((batches > 1 and rows.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 1000)).first()[0]) or []))
     batch = F.lit(0)
     for b in bounds:
         batch = batch + (F.col("doc_id") > b).cast("int")
@@ -95,7 +95,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     for other in known[1:]:
         whole = whole.unionAll(other)
     # the hashes that a second document holds: the only ones that lines are joined to
-    again = lines.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash").join(whole, "hash")
+    again = written(lines.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash").join(whole, "hash"), "repeated")
     lost = lines.select("doc_id", "row", "at", "hash").join(again, "hash").where("doc_id <> first")
     return lost.groupBy("doc_id", "row").agg(F.collect_set("at").alias("drop")).withColumnRenamed("doc_id", "id")
 
