@@ -83,6 +83,20 @@ class Buffer:
         with self._lock:
             self._data.clear()
 
+    @property
+    def capacity(self) -> int:
+        """Bytes held in memory; the buffer grows by itself."""
+        return max(len(self._data), self._data.__sizeof__() - bytearray().__sizeof__())
+
+    def shrink_to_fit(self) -> None:
+        with self._lock:
+            self._data = bytearray(bytes(self._data))
+
+    def lines(self):
+        """Takes whole lines from the front."""
+        while b"\n" in self._data:
+            yield self.read(self._data.index(b"\n") + 1).rstrip(b"\n")
+
     def atomically(self, f):
         """f(self) with no other thread in between."""
         with self._lock:

@@ -111,6 +111,10 @@ def test_buffers(spark):
     b = buffers.Buffer("ab").append(1, True, 2.5).prepend("<")
     assert b.read(3) == b"<ab" and b.peek() == b"1true2.5" and len(b) == 8 and (b + "x").text() == "1true2.5x"
     assert buffers.Buffer("z") < buffers.Buffer("aa")
+    lines = buffers.Buffer("a\nb\nc")
+    assert list(lines.lines()) == [b"a", b"b"] and lines.peek() == b"c" and lines.capacity >= 1
+    lines.shrink_to_fit()
+    assert lines.atomically(len) == 1
     assert bytes(one(spark, buffers.insert(F.lit(b"ac"), 9, "b"))) == b"acb" and bytes(one(spark, buffers.insert(F.lit(b"ac"), 1, "b"))) == b"abc"
 
 
@@ -118,3 +122,19 @@ def test_summary_is_one_pass(spark):
     df = spark.range(100).select("id", (F.col("id") % 7).cast("double").alias("v"))
     plan = stats.Statistics(Stream.of(df, "v", "id")).summary()._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_jobs(spark):
+    from rillstone.plans import Jobs
+
+    with Jobs(spark, 2) as jobs:
+        done = [jobs.submit(lambda n: spark.range(n).count(), n) for n in (3, 5, 7)]
+        jobs.increase()
+        failed = jobs.submit(lambda: 1 / 0)
+        jobs.decrease(5)
+        assert [f.result() for f in done] == [3, 5, 7] and jobs.threads == 1
+        with pytest.raises(ZeroDivisionError):
+            failed.result()
+    with pytest.raises(RuntimeError):
+        jobs.submit(len, "x")
+    Jobs(spark).emergency_shutdown()
