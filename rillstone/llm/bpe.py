@@ -4,7 +4,9 @@ A word is a row of part ids and, between each two neighbours, the rank of
 their merge. The smallest rank is found by a scan, its right part is deleted
 and the two ranks beside it are looked up anew. Words beyond ``SHORT`` parts
 keep the same ranks in a heap over linked parts, which gives the same merges in
-n log n. Words that were met before come from a bounded table.
+n log n. Texts are cut into words by Arrow, many at a time, so that Python sees
+each different word of some megabytes once; words that were met before come from
+a bounded table.
 """
 
 from __future__ import annotations
@@ -16,8 +18,11 @@ import json
 import re
 import struct
 import unicodedata
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,6 +39,8 @@ NEVER = 1 << 60
 KEPT = 200_000
 #: Longer ones are not kept.
 LONGEST = 64
+#: Letters of text that are cut into words at once.
+STRETCH = 1 << 23
 #: The code points with the property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -42,7 +49,7 @@ WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u
 LETTERS = "[\\p{L}]+"
 #: Letters on which the libraries need not be compared, and those at which str.split() cuts although they are no white space here.
 BEYOND = re.compile("[^\x00-\u024f]")
-SEPARATORS = re.compile("[\x1c-\x1f]")
+SEPARATORS = "\x1c\x1d\x1e\x1f"
 
 
 def byte_letters() -> list[str]:
@@ -52,6 +59,14 @@ def byte_letters() -> list[str]:
     return [chr(b if b in visible else next(free)) for b in range(256)]
 
 
+def latin1(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Kept(dict):
     """A table of what ``make`` gave for a key. A full table becomes the old one, from which what is asked for again comes back."""
 
@@ -73,6 +88,13 @@ class Kept(dict):
             self.clear()
         self[key] = value
 
+    def keep_all(self, values: dict) -> None:
+        """As keep() of each, the table being as much too large at most as they are many."""
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self.update(values)
+
 
 class WordBPE:
     """Encodes and decodes as the file's tokenizer does, without special tokens of its own around the text."""
@@ -98,6 +120,7 @@ class WordBPE:
         # Letters are all that is left between the other kinds of word: with blanks around those, a text's words are its parts between blanks.
         others = [x for x in pattern.replace("\\s", WHITE).split("|") if x != LETTERS]
         self.others = regex.compile("|".join(others))
+        self.arrow_others = "|".join(others).replace(WHITE, "\\t-\\r \\x{85}\\x{a0}")
         self.known = Kept(self.word)
         # Libraries differ in their Unicode version: a letter on which they disagree sends its text through the file's own splitter.
         own = Tokenizer.from_file(path)
@@ -108,8 +131,8 @@ class WordBPE:
 
     def normal(self, text: str) -> str:
         """NFC, lower case letter by letter; white space is left as it is, as the split drops it."""
-        if text.isascii():
-            return text.lower()
+        if latin1(text):
+            return text.lower()  # it is in NFC
         text = unicodedata.normalize("NFC", text)
         low = text.lower()
         if "Σ" in text:  # lower() looks at its neighbours
@@ -118,7 +141,7 @@ class WordBPE:
 
     def split(self, text: str) -> list[str]:
         """The words of a text without special tokens."""
-        if not text.isascii() and BEYOND.search(text) and (new := set(text) - self.agreed):
+        if not latin1(text) and BEYOND.search(text) and (new := set(text) - self.agreed):
             for c in new - self.odd:
                 probe = f"a{c}b{c}{c}1"
                 ours = ["".join(self.letters[b] for b in w.encode()) for w in self.words.findall(self.normal(probe))]
@@ -127,7 +150,9 @@ class WordBPE:
             if new & self.odd:
                 return [bytes(self.byte_of[c] for c in w).decode() for w, _ in self.own_split(self.own_normal(text))]
         text = self.normal(text)
-        return self.words.findall(text) if SEPARATORS.search(text) else self.others.sub(r" \g<0> ", text).split()
+        if any(c in text for c in SEPARATORS):
+            return self.words.findall(text)
+        return self.others.sub(r" \g<0> ", text).split()
 
     def merge(self, ids: list[int]) -> list[int]:
         """The parts that are left when the pair of least rank, the leftmost of equals, is joined again and again."""
@@ -187,6 +212,43 @@ class WordBPE:
                 out += [known[w] for w in self.split(piece)]
         return out
 
+    def words_of(self, text: str) -> list[str]:
+        """The words and special tokens of a whole text."""
+        return [w for k, piece in enumerate(self.cuts(text)) for w in ([piece] if k % 2 else self.split(piece))]
+
+    def plain(self, text: str) -> bool:
+        """Whether Arrow cuts the text as the tokenizer does: no letter beyond those that all libraries agree on, no special token."""
+        return "<|" not in text and (latin1(text) or not BEYOND.search(text)) and not any(c in text for c in SEPARATORS)
+
+    def cut_up(self, texts: list[str]) -> Iterator[tuple[list[int], list[str], np.ndarray, np.ndarray]]:
+        """(places of some of the texts, their different words, the word's number at each place of their text, each text's end there)."""
+        first = 0
+        while first < len(texts):
+            last, size = first + 1, len(texts[first])
+            while last < len(texts) and size + len(texts[last]) <= STRETCH:
+                size, last = size + len(texts[last]), last + 1
+            part = range(first, last)
+            plain = [i for i in part if self.plain(texts[i])]
+            odd = sorted(set(part) - set(plain))
+            spaced = pc.replace_substring_regex(pa.array([self.normal(texts[i]) for i in plain], pa.string()), pattern=self.arrow_others, replacement=r" \0 ")
+            cut = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(spaced))
+            own = [self.words_of(texts[i]) for i in odd]
+            table = pa.concat_arrays([cut.flatten(), pa.array([w for ws in own for w in ws], pa.string())]).dictionary_encode()
+            counts = np.concatenate([np.diff(cut.offsets.to_numpy()), np.array([len(ws) for ws in own], np.int64)]).astype(np.int64)
+            words, number, ends = table.dictionary.to_pylist(), table.indices.to_numpy(), np.cumsum(counts)
+            if "" in words:  # of texts without a word
+                real = number != words.index("")
+                ends = np.concatenate([[0], np.cumsum(real)])[ends]
+                number = number[real]
+            yield plain + odd, words, number, ends
+            first = last
+
+    def made(self, words: list[str]) -> list[tuple[bytes, str]]:
+        """(ids, names) of different words."""
+        special = {w: (i.to_bytes(4, "little"), w) for w, i in self.special.items()} | {"": (b"", "")}
+        known = self.known
+        return [special[w] if w in special else known[w] for w in words]
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         return b"".join(p[0] for p in self.parts(text))
@@ -196,6 +258,24 @@ class WordBPE:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
+def laid_out(made: list[bytes], number: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The ids of each text, from those of the different words."""
+    flat = np.frombuffer(b"".join(made), "<u4")
+    sizes = np.fromiter(map(len, made), np.int64, len(made)) // 4
+    starts = np.cumsum(sizes) - sizes
+    size = sizes[number]
+    stops = np.cumsum(size)
+    ids = flat[np.repeat(starts[number] - (stops - size), size) + np.arange(stops[-1] if len(stops) else 0)]
+    bounds = np.concatenate([[0], stops])[np.concatenate([[0], ends])].tolist()
+    return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
+
+
+def joined(names: list[str], number: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The names of each text's words, with blanks between."""
+    taken = pa.array(names, pa.string()).take(pa.array(number))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), taken), " ")
+
+
 @functools.lru_cache(maxsize=2)
 def loaded(path: str) -> WordBPE:
     return WordBPE(path)
@@ -212,12 +292,13 @@ def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         bpe = loaded(path)
 
         def run(batch):
-            ids, texts = [], []
-            for text in batch.column(1).to_pylist():
-                parts = bpe.parts(text or "")
-                ids.append(b"".join(p[0] for p in parts))
-                texts.append(" ".join(p[1] for p in parts))
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            ids, names = [b""] * len(texts), [""] * len(texts)
+            for places, words, number, ends in bpe.cut_up(texts):
+                made = bpe.made(words)
+                for i, x, y in zip(places, laid_out([m[0] for m in made], number, ends), joined([m[1] for m in made], number, ends).to_pylist(), strict=True):
+                    ids[i], names[i] = x, y
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(names, pa.string())], ["doc_id", "ids", "decoded"])
 
         return run
 
@@ -246,14 +327,16 @@ def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
         bpe = loaded(path)
 
         def run(batch):
-            n, ids, texts = [], [], []
-            for text in batch.column(1).to_pylist():
-                parts = bpe.parts(text or "")
-                raw = b"".join(p[0] for p in parts)
-                n.append(len(raw) // 4)
-                ids.append(hashlib.sha256(raw).hexdigest())
-                texts.append(hashlib.sha256(" ".join(p[1] for p in parts).encode()).hexdigest())
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            out = [(0, "", "")] * len(texts)
+            for places, words, number, ends in bpe.cut_up(texts):
+                made = bpe.made(words)
+                ids = laid_out([m[0] for m in made], number, ends)
+                names = joined([m[1] for m in made], number, ends)
+                for i, x, y in zip(places, ids, names, strict=True):
+                    out[i] = len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(y.as_buffer()).hexdigest()
+            n, ids, names = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(names)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return run
 

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from .bpe import LONGEST, WordBPE
+from .bpe import LONGEST, WordBPE, laid_out
 from .common import map_arrow, written
 
 CAPACITY = 4096
@@ -32,6 +32,8 @@ CAPACITY = 4096
 END = 1
 #: Fillings looked at around one document, documents of the last search, and its nodes.
 LOOKS, TAIL, NODES = 400, 48, 20_000
+#: New words that are encoded in one text.
+LEARNT = 32
 
 Packing = list[tuple[tuple[int, ...], int]]
 
@@ -165,7 +167,10 @@ class Words(WordBPE):
 
     def __init__(self, path: str):
         super().__init__(path)
+        # words come split and in normal form, so the library's own steps for that are left out
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.normalizer = normalizers.Sequence([])
+        self.tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         ends = np.zeros(max(self.names) + 1, bool)
         ends[[i for i, t in self.names.items() if t.endswith(self.suffix)]] = True
         self.ends = ends
@@ -179,27 +184,34 @@ class Words(WordBPE):
         raw = ids.tobytes()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of different words; those not met before are learnt, some at a time."""
+        out = list(map(self.known.get, words))
+        old, own, fresh = self.known.old, {}, []
+        for w in [w for w, x in zip(words, out) if x is None]:
+            x = old.get(w)
+            if x is not None:
+                own[w] = x
+            elif w in self.special:
+                own[w] = self.special[w].to_bytes(4, "little")
+            elif w:
+                fresh.append(w)
+        for k in range(0, len(fresh), LEARNT):
+            own |= zip(fresh[k : k + LEARNT], self.learn(fresh[k : k + LEARNT]), strict=True)
+        self.known.keep_all({w: x for w, x in own.items() if len(w) <= LONGEST})
+        own[""] = b""
+        return [own[w] if x is None else x for w, x in zip(words, out)]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        out = [b""] * len(texts)
+        for places, words, number, ends in self.cut_up(texts):
+            for i, ids in zip(places, laid_out(self.ids_of(words), number, ends), strict=True):
+                out[i] = ids
+        return out
+
     def encode(self, text: str) -> bytes:
-        """The ids of a text, word by word; its new words are learnt at once."""
-        cuts = [piece if k % 2 else self.split(piece) for k, piece in enumerate(self.cuts(text))]
-        known = self.known
-        need = {w for words in cuts[::2] for w in words if w not in known}
-        own = {w: known.old[w] for w in need if w in known.old}
-        if new := [w for w in need if w not in own]:
-            own |= zip(new, self.learn(new), strict=True)
-        both = own.get if own else None
-        out = []
-        for k, x in enumerate(cuts):
-            if k % 2:
-                out.append(self.special[x].to_bytes(4, "little"))
-            elif both:
-                out += [both(w) or known[w] for w in x]
-            else:
-                out += [known[w] for w in x]
-        for w, ids in own.items():
-            if len(w) <= LONGEST:
-                known.keep(w, ids)
-        return b"".join(out)
+        return self.encode_all([text])[0]
 
 
 @functools.lru_cache(maxsize=2)
@@ -220,8 +232,9 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
         def run(batch):
             rows = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = words.encode(text or "") + end
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, raw in zip(batch.column(0).to_pylist(), words.encode_all(texts), strict=True):
+                raw += end
                 for n, at in enumerate(range(0, len(raw), 4 * capacity)):
                     own = raw[at : at + 4 * capacity]
                     length = len(own) // 4
