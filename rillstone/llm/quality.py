@@ -5,8 +5,9 @@ labelled documents: the target's on those of good quality that are not toxic, th
 raw one on all of them. A document's log importance is the sum, over its
 different n-grams, of the log ratio of the two, drawn in towards zero by ``SHRINK``
 so that n-grams seen too seldom to tell, and the noise of common ones, weigh
-nothing. Its key is that weight plus Gumbel noise, and the k documents with the
-largest keys are a sample without replacement in proportion to the weights.
+nothing, less what as many n-grams of a target document weigh on average. Its
+key is that weight plus Gumbel noise, and the k documents with the largest keys
+are a sample without replacement in proportion to the weights.
 """
 
 from __future__ import annotations
@@ -14,16 +15,14 @@ from __future__ import annotations
 import re
 import struct
 import zlib
-from collections import Counter
-from itertools import chain
-from operator import eq
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .bpe import Kept
 from .common import map_arrow, written
@@ -35,7 +34,7 @@ FITTED, READ = 40_000, 20_000
 #: Added to the document counts of both models.
 PRIOR = 2.0
 #: Log ratios below this weigh nothing; the others are less by it.
-SHRINK = 1.0
+SHRINK = 1.25
 #: Weights are multiplied by it before the noise is added.
 SHARPNESS = 6.0
 #: k counts the documents whose log importance is above it.
@@ -45,43 +44,47 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: Tenths at which a share of a text makes a class of its own.
 LEVELS = (4, 7)
 
-SPLIT = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
+#: Digits, signs and underscores stand apart from letters; words are what is between blanks then.
+APART = re.compile(r"\d+|[^\w\s]+|_+")
 
 
-def word_hashes(word: str) -> tuple[int, ...]:
-    """Of the lower-case word, and of its beginnings of PREFIXES letters, by which inflected forms are alike."""
+def known_word(word: str) -> tuple[bytes, bytes, bytes]:
+    """The hash of the lower-case word; with it those of its beginnings of PREFIXES letters, by which inflected forms are alike; its kind: upper-case, other letters, or signs."""
     low = word.lower()
-    return (xxhash.xxh64_intdigest(low), *(xxhash.xxh64_intdigest(f"\0{low[:k]}") for k in PREFIXES if len(low) > k))
+    first = xxhash.xxh64_digest(low)
+    kind = b"s" if not word[0].isalpha() else b"u" if len(word) > 1 and word.isupper() else b"l"
+    return first, b"".join([first, *(xxhash.xxh64_digest(f"\0{low[:k]}") for k in PREFIXES if len(low) > k)]), kind
 
 
-#: The hashes of words met before, in each process.
-KNOWN = Kept(word_hashes)
+#: Words met before, in each process.
+KNOWN = Kept(known_word, 120_000)
 
 
 def grams(text: str) -> np.ndarray:
     """The different buckets of a text's features: lower-case words and their beginnings, runs of signs, pairs of neighbours, and the classes of shape()."""
-    words = SPLIT.findall(text)
-    of = [KNOWN[w] for w in words]
-    singles = np.fromiter(chain.from_iterable(set(of)), np.uint64)
-    first = np.fromiter((h[0] for h in of), np.uint64, len(of))
+    words = [KNOWN[w] for w in APART.sub(r" \g<0> ", text).split()]
+    first = np.frombuffer(b"".join([w[0] for w in words]), np.uint64)
+    singles = np.frombuffer(b"".join({w[1] for w in words}), np.uint64)
     pairs = first[:-1] * np.uint64(0x9E3779B97F4A7C15) + (first[1:] >> np.uint64(7))
-    pairs ^= pairs >> np.uint64(31)
-    shapes = np.array([xxhash.xxh64_intdigest(g) for g in shape(text, words)], np.uint64)
+    pairs = np.unique(pairs ^ pairs >> np.uint64(31))
+    shapes = np.array([xxhash.xxh64_intdigest(g) for g in shape(first, len(pairs), b"".join([w[2] for w in words]))], np.uint64)
     return np.unique(np.concatenate([singles, pairs, shapes]) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def shape(text: str, words: list[str]) -> list[str]:
+def shape(words: np.ndarray, pairs: int, kinds: bytes) -> list[str]:
     """Classes that hold of a whole text: how much of it is capitals, signs, one token again and again, or repeated lines."""
-    if not words:
-        return ["\0empty"]
-    counts = Counter(words)
-    letters = sum(n for w, n in counts.items() if w[0].isalpha())
-    upper = sum(n for w, n in counts.items() if w.isupper() and len(w) > 1)
-    most, different = max(counts.values()), len(counts)
-    pairs = len(set(zip(words, words[1:])))
-    same = sum(map(eq, words, words[1:]))
     n = len(words)
-    parts = {"upper": upper / max(1, letters), "signs": 1 - letters / n, "most": most / n, "same": same / n, "again": 1 - different / n, "pairs": 1 - pairs / n}
+    if not n:
+        return ["\0empty"]
+    counts = np.unique(words, return_counts=True)[1]
+    parts = {
+        "upper": kinds.count(b"u") / max(1, n - kinds.count(b"s")),
+        "signs": kinds.count(b"s") / n,
+        "most": counts.max() / n,
+        "same": np.count_nonzero(words[1:] == words[:-1]) / n,
+        "again": 1 - len(counts) / n,
+        "pairs": 1 - pairs / n,
+    }
     # an extreme text bears the lower classes too
     return [f"\0{name}{k}" for name, x in parts.items() for k in LEVELS if 10 * x >= k] + [f"\0size{n.bit_length()}"]
 
@@ -92,7 +95,8 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int = FITTED, id_col: str
     n = of.count()
     if n > most:
         of = of.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(of, "doc_id").select("text", "target")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(of), "doc_id").select("text", "target")  # about ``most`` short rows, whatever the input
 
 
 def counts_of(rows: DataFrame) -> DataFrame:
@@ -116,42 +120,47 @@ def counts_of(rows: DataFrame) -> DataFrame:
     return map_arrow(rows, start, "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
 
 
-def ratios(counts: DataFrame) -> dict[int, float]:
-    """bucket -> shrunken log ratio of the buckets that weigh anything; BUCKETS of them at most reach the driver."""
+def ratios(counts: DataFrame) -> tuple[dict[int, float], float]:
+    """bucket -> shrunken log ratio of the buckets that weigh anything, BUCKETS of them at most, and the mean weight that an n-gram of a target document has.
+
+    The mean is taken off for each n-gram of a text, so that a long target
+    document is not expected to weigh less than a short one; each bucket counts
+    as seen in one target document more, as it was chosen for having few.
+    """
     total = counts.where("bucket = -1").first()
     if total is None or not total["target"]:
-        return {}
+        return {}, 0.0
     share = total["target"] / total["raw"]
     ratio = F.log(F.col("target") + PRIOR) - F.log(F.col("raw") * share + PRIOR)
     weight = F.signum(ratio) * (F.abs(ratio) - SHRINK)
-    return {r["bucket"]: r["weight"] for r in counts.where("bucket >= 0").withColumn("ratio", ratio).where(F.abs("ratio") > SHRINK).select("bucket", weight.alias("weight")).collect()}
+    rows = counts.where("bucket >= 0").select("bucket", "target", F.when(F.abs(ratio) > SHRINK, weight).alias("weight"))
+    seen, weighed = rows.agg(F.sum("target"), F.sum((F.col("target") + 1) * F.col("weight"))).first()
+    model = {r["bucket"]: r["weight"] for r in rows.where("weight is not null").select("bucket", "weight").collect()}
+    return model, (weighed or 0.0) / max(1, seen)
 
 
-def scored(docs: DataFrame, model: dict[int, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with ``log_weight`` (the log importance of the whole text) and ``gumbel`` (noise by id and text, the same in every run). Columns of docs of these names are replaced."""
+def scored(docs: DataFrame, model: dict[int, float], mean: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with ``log_weight`` (the log importance of the whole text) and ``gumbel`` (noise by id and text, the same in every run). Columns of docs of these names are replaced; only ids and texts go to Python, and only numbers come back."""
     dense = np.zeros(BUCKETS, np.float32)
     for bucket, weight in model.items():
         dense[bucket] = weight
     sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(dense.tobytes()))
-    keep = [c for c in docs.columns if c not in ("log_weight", "gumbel")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in keep])
-    fields = T.StructType([*docs.schema.fields, T.StructField("log_weight", T.DoubleType()), T.StructField("gumbel", T.DoubleType())])
-    at, key = keep.index(text_col), keep.index(id_col)
 
-    def start():
+    @F.pandas_udf("log_weight double, gumbel double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         table = np.frombuffer(zlib.decompress(sent.value), np.float32)
-
-        def run(batch):
+        for ids, texts in batches:
             weights, noise = [], []
-            for text, row in zip(batch.column(at).to_pylist(), batch.column(key).to_pylist(), strict=True):
-                weights.append(round(float(table[grams(text or "")].sum(dtype=np.float64)), 6))
-                u = (xxhash.xxh64_intdigest(struct.pack("<q", row if isinstance(row, int) else -1) + (text or "").encode(), SEED) + 0.5) / 2.0**64
+            for row, text in zip(ids.tolist(), texts.tolist(), strict=True):
+                found = grams(text)
+                weights.append(round(float(table[found].sum(dtype=np.float64)) - mean * len(found), 6))
+                u = (xxhash.xxh64_intdigest(struct.pack("<q", row) + text.encode(), SEED) + 0.5) / 2.0**64
                 noise.append(float(-np.log(-np.log(u))))
-            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(weights, pa.float64()), pa.array(noise, pa.float64())], [*batch.schema.names, "log_weight", "gumbel"])
+            yield pd.DataFrame({"log_weight": weights, "gumbel": noise})
 
-        return run
-
-    return map_arrow(docs, start, fields)
+    keep = [c for c in docs.columns if c not in ("log_weight", "gumbel")]
+    key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.select(*[F.col(f"`{c}`") for c in keep], score(key, text).alias("_score")).select(*[F.col(f"`{c}`") for c in keep], "_score.log_weight", "_score.gumbel")
 
 
 def kth_key(keys: DataFrame, k: int, most: int = 100_000) -> float:
@@ -180,8 +189,8 @@ def kth_key(keys: DataFrame, k: int, most: int = 100_000) -> float:
     return low
 
 
-def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The k documents with the largest keys, with ``log_weight`` and ``key``; all columns of docs are kept but those of these names.
+def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+    """The k documents with the largest keys, with ``log_weight`` and ``key``, and the columns of docs named by ``keep``, all of them unless given, but those of these names.
 
     k is, unless given, the number of documents whose log importance is above
     FLOOR, those that the target explains about as well as the raw text does;
@@ -190,8 +199,9 @@ def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col:
     the end are all kept. Without a target label nothing can be told apart, and
     all documents stay. Texts are read twice, and scored rows are written once.
     """
-    model = ratios(written(counts_of(labelled(docs, labels, FITTED, id_col, text_col)), "gram-counts"))
-    rows = written(scored(docs, model, id_col, text_col).withColumn("key", F.col("log_weight") * SHARPNESS + F.col("gumbel")).drop("gumbel"), "scored")
+    model, mean = ratios(written(counts_of(labelled(docs, labels, FITTED, id_col, text_col)), "gram-counts"))
+    rows = scored(docs, model, mean, id_col, text_col).withColumn("key", F.col("log_weight") * SHARPNESS + F.col("gumbel")).drop("gumbel")
+    rows = written(rows.select(*keep, "log_weight", "key") if keep else rows, "scored")
     if k is None:
         k = rows.where(F.col("log_weight") > FLOOR).count()
     return rows.where(F.col("key") >= kth_key(rows.select("key"), k))
