@@ -191,7 +191,7 @@ def group_digests(docs: DataFrame) -> DataFrame:
 # a wide fingerprint of a text's different words changes few.
 
 #: 64-bit words of a wide fingerprint, its tables, and the bits of each that must be the same and that may differ in two.
-WIDE, TABLES, WHOLE, FUZZY = 8, 12, 21, 21
+WIDE, TABLES, WHOLE, FUZZY = 8, 13, 16, 23
 #: Differing bits of WIDE * 64 up to which a pair is verified; pairs of similarity 0.8 stay far below it.
 APART = 102
 SHINGLE, SIMILAR = 5, 0.8
@@ -316,13 +316,15 @@ def near_groups(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHI
     def keyed():
         def run(batch):
             row, key = wide_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
-            return pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row))], ["key", "node", "wide"])
+            return pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(row))], ["key", "node"])
 
         return run
 
-    keys = written(map_arrow(nodes.select("node", "wide"), keyed, "key long, node long, wide binary"), "wide-keys")
+    # fingerprints join their keys again only where a key has company
+    keys = written(map_arrow(nodes.select("node", "wide"), keyed, "key long, node long"), "wide-keys")
     full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    edges = written(bucket_edges(keys.join(full, "key"), APART), "wide-edges")
+    met = written(keys.join(full, "key"), "wide-meetings")
+    edges = written(bucket_edges(met.join(nodes.select("node", "wide"), "node"), APART), "wide-edges")
     ends = edges.select(F.col("a").alias("doc_id")).union(edges.select(F.col("b").alias("doc_id"))).distinct()
 
     def shingled():
