@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import map_arrow
+from .common import cut_words, map_arrow, number_words, stretches
 
 SHORT = 128
 #: Bits of an id beside its merge's rank, and the rank of a pair that has none.
@@ -39,8 +39,6 @@ NEVER = 1 << 60
 KEPT = 200_000
 #: Longer ones are not kept.
 LONGEST = 64
-#: Letters of text that are cut into words at once.
-STRETCH = 1 << 23
 #: The code points with the property White_Space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -222,26 +220,13 @@ class WordBPE:
 
     def cut_up(self, texts: list[str]) -> Iterator[tuple[list[int], list[str], np.ndarray, np.ndarray]]:
         """(places of some of the texts, their different words, the word's number at each place of their text, each text's end there)."""
-        first = 0
-        while first < len(texts):
-            last, size = first + 1, len(texts[first])
-            while last < len(texts) and size + len(texts[last]) <= STRETCH:
-                size, last = size + len(texts[last]), last + 1
-            part = range(first, last)
+        for part in stretches(texts):
             plain = [i for i in part if self.plain(texts[i])]
             odd = sorted(set(part) - set(plain))
-            spaced = pc.replace_substring_regex(pa.array([self.normal(texts[i]) for i in plain], pa.string()), pattern=self.arrow_others, replacement=r" \0 ")
-            cut = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(spaced))
+            words, counts = cut_words([self.normal(texts[i]) for i in plain], self.arrow_others)
             own = [self.words_of(texts[i]) for i in odd]
-            table = pa.concat_arrays([cut.flatten(), pa.array([w for ws in own for w in ws], pa.string())]).dictionary_encode()
-            counts = np.concatenate([np.diff(cut.offsets.to_numpy()), np.array([len(ws) for ws in own], np.int64)]).astype(np.int64)
-            words, number, ends = table.dictionary.to_pylist(), table.indices.to_numpy(), np.cumsum(counts)
-            if "" in words:  # of texts without a word
-                real = number != words.index("")
-                ends = np.concatenate([[0], np.cumsum(real)])[ends]
-                number = number[real]
-            yield plain + odd, words, number, ends
-            first = last
+            words = pa.concat_arrays([words, pa.array([w for ws in own for w in ws], pa.string())])
+            yield plain + odd, *number_words(words, np.concatenate([counts, np.array([len(ws) for ws in own], np.int64)]))
 
     def made(self, words: list[str]) -> list[tuple[bytes, str]]:
         """(ids, names) of different words."""

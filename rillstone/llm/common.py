@@ -11,7 +11,9 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,39 @@ def map_arrow(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.R
     return df.mapInArrow(run, schema)
 
 
+#: Letters of text that are cut into words at once.
+STRETCH = 1 << 22
+
+
+def stretches(texts: list[str]) -> Iterator[range]:
+    """The places of texts that have about STRETCH letters together; a longer one stands alone."""
+    first = 0
+    while first < len(texts):
+        last, size = first + 1, len(texts[first])
+        while last < len(texts) and size + len(texts[last]) <= STRETCH:
+            size, last = size + len(texts[last]), last + 1
+        yield range(first, last)
+        first = last
+
+
+def cut_words(texts: list[str], others: str) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, one after another, and their count in each: what ``others`` finds stands apart, and the rest is cut at white space."""
+    spaced = pc.replace_substring_regex(pa.array(texts, pa.string()), pattern=others, replacement=r" \0 ")
+    cut = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(spaced))
+    return cut.flatten(), np.diff(cut.offsets.to_numpy()).astype(np.int64)
+
+
+def number_words(words: pa.Array, counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(different words, the number of the word at each place, each text's end there); empty words are left out."""
+    table = words.dictionary_encode()
+    listed, number, ends = table.dictionary.to_pylist(), table.indices.to_numpy(), np.cumsum(counts)
+    if "" in listed:
+        real = number != listed.index("")
+        ends = np.concatenate([[0], np.cumsum(real)])[ends]
+        number = number[real]
+    return listed, number, ends
+
+
 def components(edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:
     """node, component (the smallest node that it reaches) of the undirected ``edges`` (a, b long).
 

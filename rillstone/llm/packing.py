@@ -32,6 +32,8 @@ CAPACITY = 4096
 END = 1
 #: Fillings looked at around one document, documents of the last search, and its nodes.
 LOOKS, TAIL, NODES = 400, 48, 20_000
+#: Words that a worker keeps, twice as many at most; beside others' tables in one worker, so fewer than alone.
+WORDS = 60_000
 #: New words that are encoded in one text.
 LEARNT = 32
 
@@ -167,6 +169,7 @@ class Words(WordBPE):
 
     def __init__(self, path: str):
         super().__init__(path)
+        self.known.most = WORDS
         # words come split and in normal form, so the library's own steps for that are left out
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.normalizer = normalizers.Sequence([])

@@ -12,7 +12,6 @@ are a sample without replacement in proportion to the weights.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Kept
-from .common import map_arrow, written
+from .common import cut_words, map_arrow, number_words, stretches, written
 
 #: Hashed n-grams; the fitted table has as many 4-byte entries at most.
 BUCKETS = 1 << 20
@@ -44,8 +43,8 @@ PREFIXES = (4, 5, 6, 7, 8)
 #: Tenths at which a share of a text makes a class of its own.
 LEVELS = (4, 7)
 
-#: Digits, signs and underscores stand apart from letters; words are what is between blanks then.
-APART = re.compile(r"\d+|[^\w\s]+|_+")
+#: Numbers and signs stand apart from letters (RE2); words are what is between blanks then.
+OTHERS = r"\pN+|[^\pL\pN\pZ\t-\r\x{85}]+"
 
 
 def known_word(word: str) -> tuple[bytes, bytes, bytes]:
@@ -57,26 +56,36 @@ def known_word(word: str) -> tuple[bytes, bytes, bytes]:
 
 
 #: Words met before, in each process.
-KNOWN = Kept(known_word, 120_000)
-
-
-def grams(text: str) -> np.ndarray:
-    """The different buckets of a text's features: lower-case words and their beginnings, runs of signs, pairs of neighbours, and the classes of shape()."""
-    words = [KNOWN[w] for w in APART.sub(r" \g<0> ", text).split()]
-    first = np.frombuffer(b"".join([w[0] for w in words]), np.uint64)
-    singles = np.frombuffer(b"".join({w[1] for w in words}), np.uint64)
-    pairs = first[:-1] * np.uint64(0x9E3779B97F4A7C15) + (first[1:] >> np.uint64(7))
-    pairs = np.unique(pairs ^ pairs >> np.uint64(31))
-    shapes = np.array([xxhash.xxh64_intdigest(g) for g in shape(first, len(pairs), b"".join([w[2] for w in words]))], np.uint64)
-    return np.unique(np.concatenate([singles, pairs, shapes]) % np.uint64(BUCKETS)).astype(np.int64)
-
-
-def shape(words: np.ndarray, pairs: int, kinds: bytes) -> list[str]:
+KNOWN = Kept(known_word, 60_000)
+
+
+def grams(texts: list[str]) -> Iterator[np.ndarray]:
+    """The different buckets of each text's features: lower-case words and their beginnings, runs of signs, pairs of neighbours, and the classes of shape()."""
+    for part in stretches(texts):
+        words, number, ends = number_words(*cut_words([texts[i] for i in part], OTHERS))
+        made = [KNOWN[w] if w else (b"\0" * 8, b"", b"s") for w in words]
+        first = np.frombuffer(b"".join([m[0] for m in made]), np.uint64)
+        flat = np.frombuffer(b"".join([m[1] for m in made]), np.uint64)
+        kinds = np.frombuffer(b"".join([m[2] for m in made]), np.uint8)
+        sizes = np.fromiter((len(m[1]) for m in made), np.int64, len(made)) // 8
+        starts = np.cumsum(sizes) - sizes
+        for a, b in zip([0, *ends.tolist()], ends.tolist()):
+            own = number[a:b]
+            different, counts = np.unique(own, return_counts=True)
+            size = sizes[different]
+            singles = flat[np.repeat(starts[different] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+            hashes = first[own]
+            pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + (hashes[1:] >> np.uint64(7))
+            pairs = np.unique(pairs ^ pairs >> np.uint64(31))
+            shapes = np.array([xxhash.xxh64_intdigest(g) for g in shape(own, counts, len(pairs), kinds[own].tobytes())], np.uint64)
+            yield np.unique(np.concatenate([singles, pairs, shapes]) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def shape(words: np.ndarray, counts: np.ndarray, pairs: int, kinds: bytes) -> list[str]:
     """Classes that hold of a whole text: how much of it is capitals, signs, one token again and again, or repeated lines."""
     n = len(words)
     if not n:
         return ["\0empty"]
-    counts = np.unique(words, return_counts=True)[1]
     parts = {
         "upper": kinds.count(b"u") / max(1, n - kinds.count(b"s")),
         "signs": kinds.count(b"s") / n,
@@ -105,8 +114,8 @@ def counts_of(rows: DataFrame) -> DataFrame:
     def start():
         def run(batch):
             raw, target = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
-            for text, is_target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found = grams(text[:READ])
+            texts = [t[:READ] for t in batch.column(0).to_pylist()]
+            for found, is_target in zip(grams(texts), batch.column(1).to_pylist(), strict=True):
                 raw[found] += 1
                 raw[-1] += 1
                 if is_target:
@@ -151,8 +160,8 @@ def scored(docs: DataFrame, model: dict[int, float], mean: float = 0.0, id_col:
         table = np.frombuffer(zlib.decompress(sent.value), np.float32)
         for ids, texts in batches:
             weights, noise = [], []
-            for row, text in zip(ids.tolist(), texts.tolist(), strict=True):
-                found = grams(text)
+            listed = texts.tolist()
+            for row, text, found in zip(ids.tolist(), listed, grams(listed), strict=True):
                 weights.append(round(float(table[found].sum(dtype=np.float64)) - mean * len(found), 6))
                 u = (xxhash.xxh64_intdigest(struct.pack("<q", row) + text.encode(), SEED) + 0.5) / 2.0**64
                 noise.append(float(-np.log(-np.log(u))))

@@ -201,7 +201,7 @@ def word_hash(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, SEED)
 
 
-KNOWN = Kept(word_hash)
+KNOWN = Kept(word_hash, 50_000)
 
 
 def wide_print(text: str | None) -> np.ndarray:
@@ -315,7 +315,9 @@ def near_groups(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHI
 
     def keyed():
         def run(batch):
-            row, key = wide_keys(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1))
+            prints = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            found = [(row + at, key) for at in range(0, len(prints), 1024) for row, key in [wide_keys(prints[at : at + 1024])]]
+            row, key = (np.concatenate(c) for c in zip(*found, strict=True))
             return pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(row))], ["key", "node"])
 
         return run
