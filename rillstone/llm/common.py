@@ -23,6 +23,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+#: By application: the folder that stands in where none is set.
+OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's path below the folder that driver and executors share.
 
@@ -31,16 +35,26 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = tempfile.mkdtemp(prefix="rillstone-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="rillstone-")
+        OWN[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Rows that go to Python at once in a written step: whole texts, of which thousands must fit a worker beside its tables.
+ROWS = 2_000
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """The rows of df, written to the shared folder and read again: its lineage ends here."""
+    """The rows of df, written to the shared folder and read again: its lineage ends here. Arrow batches have ROWS rows at most meanwhile."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.option("compression", codec).parquet(path)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, str(ROWS if int(before) <= 0 else min(ROWS, int(before))))
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(rows, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
