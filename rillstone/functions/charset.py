@@ -74,6 +74,10 @@ def valid_point(p: int) -> bool:
     return 0 <= p <= 0x10FFFF and not 0xD800 <= p <= 0xDFFF
 
 
+# What Python calls the charsets of more than one byte.
+CODECS = {"utf16": "utf-16-le", "utf16le": "utf-16-le", "utf16be": "utf-16-be", "utf32": "utf-32-le", "utf32le": "utf-32-le", "utf32be": "utf-32-be"}
+
+
 def decoded(raw: bytes, charset: str = "utf8") -> str:
     """The text of any bytes. In UTF-8 a wrong lead or following byte costs one byte, a cut-off end all that is left, an overlong form or surrogate its whole length; each is one U+FFFD."""
     name = known(charset)
@@ -106,6 +110,10 @@ def decoded(raw: bytes, charset: str = "utf8") -> str:
                 out.append(chr(p) if p >= least[n] and valid_point(p) else BAD)
                 at += n
         return "".join(out)
+    try:
+        return raw.decode(CODECS[name])
+    except UnicodeDecodeError:
+        pass
     order = "big" if name.endswith("be") else "little"
     width = 2 if name.startswith("utf16") else 4
     while at < end:

@@ -509,7 +509,7 @@ def charset_roundtrip(spark, sf_dir):
     t = F.col("text")
     size = lambda cs: long_(F.octet_length(charset.encode(t, cs)))
     back = charset.decode_valid(charset.convert(charset.encode(t, "utf32"), "utf32", "utf8"))
-    return texts(spark, sf_dir).select("doc_id", F.sha2(back, 256).alias("back"), size("utf8").alias("utf8"), size("utf16").alias("utf16"), size("utf32le").alias("utf32"), F.sha2(charset.decode_valid(charset.encode(t, "ascii"), "ascii"), 256).alias("plain"))
+    return texts(spark, sf_dir).select("doc_id", F.sha2(back, 256).alias("back"), size("utf8").alias("utf8"), size("utf16").alias("utf16"), size("utf32be").alias("utf32"), F.sha2(charset.decode_valid(charset.encode(t, "ascii"), "ascii"), 256).alias("plain"))
 
 
 @query("SELECT p_partkey, hex(encode('[' || substr(p_name, 1, 3) || '|' || substr(p_name, 4) || CAST(p_size AS VARCHAR) || ']')) AS built, CAST(octet_length(encode(p_name)) AS BIGINT) AS size FROM part")
