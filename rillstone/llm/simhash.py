@@ -195,6 +195,10 @@ WIDE, TABLES, WHOLE, FUZZY = 8, 13, 16, 23
 #: Differing bits of WIDE * 64 up to which a pair is verified; pairs of similarity 0.8 stay far below it.
 APART = 102
 SHINGLE, SIMILAR = 5, 0.8
+#: Min-hashes of a text's shingles, each held as four bits of a sketch as wide as the fingerprint. A pair of similarity s differs in 256 * (1 - s) of its bits on average.
+MINIMA = 128
+#: Pairs of a bucket that are sent on at once.
+SENT = 1 << 16
 
 
 def word_hash(word: bytes) -> int:
@@ -231,6 +235,27 @@ def wide_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+@functools.cache
+def minima_seeds() -> tuple[np.ndarray, np.ndarray]:
+    r = np.random.default_rng(SEED)
+    return r.integers(0, 1 << 64, MINIMA, np.uint64), r.integers(0, 1 << 64, MINIMA, np.uint64) | np.uint64(1)
+
+
+def minima(hashes: np.ndarray) -> np.ndarray:
+    """The least of the hashes under each of MINIMA mixings; without a hash, the largest number."""
+    flip, by = minima_seeds()
+    out = np.full(MINIMA, np.iinfo(np.uint64).max)
+    for at in range(0, len(hashes), 256):
+        np.minimum(out, ((hashes[at : at + 256, None] ^ flip) * by).min(axis=0), out=out)
+    return out
+
+
+def sketch(least: np.ndarray) -> np.ndarray:
+    """Four bits of each of the minima, as WIDE * 8 bytes: their differing bits tell how far two sets of shingles are apart."""
+    bits = ((least * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(60)).astype(np.uint8)
+    return bits[0::2] | bits[1::2] << 4
+
+
 def spanning(prints: np.ndarray, apart: int) -> list[tuple[int, int]]:
     """The edges of a least spanning forest of fingerprints by differing bits, none over ``apart``.
 
@@ -252,41 +277,80 @@ def spanning(prints: np.ndarray, apart: int) -> list[tuple[int, int]]:
     return out
 
 
-def bucket_edges(met: DataFrame, apart: int) -> DataFrame:
-    """a, b: the spanning edges of each key's nodes. ``met`` has key, node, wide; a key's rows are brought together and sorted, and only one key's are held."""
+def bucket_pairs(met: DataFrame, pairs) -> DataFrame:
+    """a, b: what ``pairs``, a function of the other columns, gives for each key. ``met`` has key, node and others; a key's rows are brought together and sorted, and only one key's are held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, nodes, prints = None, [], []
-        a: list[int] = []
-        b: list[int] = []
-
-        def close() -> None:
-            if len(nodes) > 1:
-                for i, j in spanning(np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1), apart):
-                    a.append(min(nodes[i], nodes[j]))
-                    b.append(max(nodes[i], nodes[j]))
-
-        def out() -> pa.RecordBatch:
-            pairs = list(dict.fromkeys(zip(a, b)))
-            a.clear()
-            b.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for k, node, wide in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key:
-                    close()
-                    key, nodes, prints = k, [], []
-                nodes.append(node)
-                prints.append(wide)
-            if a:
-                yield out()
-        close()
-        if a:
-            yield out()
-
-    dealt = met.select("key", "node", "wide").repartition("key").sortWithinPartitions("key", "node")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+        def out(found: dict) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+        def buckets():
+            key, rows = None, []
+            for batch in batches:
+                for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if k != key:
+                        yield rows
+                        key, rows = k, []
+                    rows.append(row)
+            yield rows
+
+        found: dict[tuple[int, int], None] = {}
+        for rows in buckets():
+            if len(rows) > 1:
+                for a, b in pairs(*zip(*rows)):
+                    found[min(a, b), max(a, b)] = None
+                    if len(found) >= SENT:
+                        yield out(found)
+                        found = {}
+        if found:
+            yield out(found)
+
+    return met.repartition("key").sortWithinPartitions("key", "node").mapInArrow(run, "a long, b long").distinct()
+
+
+def stacked(prints) -> np.ndarray:
+    return np.frombuffer(b"".join(prints), np.uint8).reshape(len(prints), -1)
+
+
+def bucket_edges(met: DataFrame, apart: int) -> DataFrame:
+    """a, b: the spanning edges of each key's nodes. ``met`` has key, node, sketch."""
+
+    def pairs(nodes, prints):
+        for i, j in spanning(stacked(prints), apart):
+            yield nodes[i], nodes[j]
+
+    return bucket_pairs(met.select("key", "node", "sketch"), pairs)
+
+
+def bucket_rest(met: DataFrame, apart: int) -> DataFrame:
+    """a, b: all pairs of a key's nodes that are in different groups and at most ``apart`` bits from each other. ``met`` has key, node, sketch, group."""
+
+    def pairs(nodes, prints, groups):
+        words, groups = stacked(prints).view(np.uint64), np.array(groups)
+        for i in range(len(nodes) - 1):
+            others = np.flatnonzero(groups[i + 1 :] != groups[i]) + i + 1
+            for j in others[np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64) <= apart].tolist():
+                yield nodes[i], nodes[j]
+
+    return bucket_pairs(met.select("key", "node", "sketch", "group"), pairs)
+
+
+def verified(edges: DataFrame, whole: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """a, b, near of each of ``edges``: whether the Jaccard index of the sets of shingles of the two is ``similarity`` or more."""
+    ends = edges.select(F.col("a").alias("doc_id")).union(edges.select(F.col("b").alias("doc_id"))).distinct()
+
+    def shingled():
+        def run(batch):
+            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "grams"])
+
+        return run
+
+    grams = written(map_arrow(whole.join(ends, "doc_id"), shingled, "doc_id long, grams array<long>"), "grams").dropDuplicates(["doc_id"])
+    left, right = grams.toDF("a", "x"), grams.toDF("b", "y")
+    both = F.size(F.array_intersect("x", "y"))
+    either = F.size("x") + F.size("y") - both
+    return written(edges.join(left, "a").join(right, "b").select("a", "b", ((both >= similarity * either) | (either == 0)).alias("near")), "verified")
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -295,9 +359,12 @@ def near_groups(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHI
     Two texts are near copies if the Jaccard index of their sets of shingles of
     ``shingle`` words is ``similarity`` or more; groups are the components.
     Texts of the same words are one node. Candidates meet on the keys of
-    wide_keys; in each bucket, of any size, the nearest pairs that span it are
-    verified over whole texts. The search is a sketch's: of pairs at 0.8 it
-    misses a few in a hundred (tests measure it), and no pair below is taken.
+    wide_keys; in each bucket, of any size, the nearest pairs that span it, by
+    the min-hashes of their shingles, are verified over whole texts. Where one
+    of a bucket's pairs fails, all pairs of the bucket that are then still in
+    different groups are verified too, so that no pair within APART that meets
+    is left out. The search is a sketch's: of pairs at 0.8 it misses a few in a
+    hundred (tests measure it), and no pair below is taken.
     Null and empty texts are one group. An empty table gives no rows.
     """
 
@@ -305,13 +372,15 @@ def near_groups(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHI
         def run(batch):
             texts = batch.column(1).to_pylist()
             same = [xxhash.xxh3_128_digest(b" ".join((t or "").encode().lower().split())) for t in texts]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(same, pa.binary()), pa.array([wide_print(t).tobytes() for t in texts], pa.binary())], ["doc_id", "same", "wide"])
+            wide = [wide_print(t).tobytes() for t in texts]
+            sketches = [sketch(minima(shingle_hashes(t, shingle))).tobytes() for t in texts]
+            return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.binary()) for c in (same, wide, sketches))], ["doc_id", "same", "wide", "sketch"])
 
         return run
 
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(F.col("doc_id").isNotNull())
-    rows = written(map_arrow(whole, start, "doc_id long, same binary, wide binary"), "wide-prints")
-    nodes = written(rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide")), "wide-nodes")
+    rows = written(map_arrow(whole, start, "doc_id long, same binary, wide binary, sketch binary"), "wide-prints")
+    nodes = written(rows.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide"), F.first("sketch").alias("sketch")), "wide-nodes")
 
     def keyed():
         def run(batch):
@@ -322,25 +391,20 @@ def near_groups(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHI
 
         return run
 
-    # fingerprints join their keys again only where a key has company
+    # sketches join their keys again only where a key has company
     keys = written(map_arrow(nodes.select("node", "wide"), keyed, "key long, node long"), "wide-keys")
     full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     met = written(keys.join(full, "key"), "wide-meetings")
-    edges = written(bucket_edges(met.join(nodes.select("node", "wide"), "node"), APART), "wide-edges")
-    ends = edges.select(F.col("a").alias("doc_id")).union(edges.select(F.col("b").alias("doc_id"))).distinct()
-
-    def shingled():
-        def run(batch):
-            sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "grams"])
-
-        return run
-
-    grams = written(map_arrow(whole.join(ends, "doc_id"), shingled, "doc_id long, grams array<long>"), "grams").dropDuplicates(["doc_id"])
-    left, right = grams.toDF("a", "x"), grams.toDF("b", "y")
-    both = F.size(F.array_intersect("x", "y"))
-    either = F.size("x") + F.size("y") - both
-    linked = edges.join(left, "a").join(right, "b").where((both >= similarity * either) | (either == 0)).select("a", "b")
+    sketches = nodes.select("node", "sketch")
+    edges = verified(written(bucket_edges(met.join(sketches, "node"), APART), "wide-edges"), whole, similarity, shingle)
+    linked, failed = edges.where("near").select("a", "b"), edges.where("not near")
+    found = components(linked, "near-components").withColumnRenamed("component", "group")
+    # a bucket whose pairs all hold has nothing left; in the others, nodes that are not joined yet meet one another
+    open_nodes = failed.select(F.col("a").alias("node")).union(failed.select(F.col("b").alias("node"))).distinct()
+    open_keys = met.join(open_nodes, "node", "left_semi").select("key").distinct()
+    rest = met.join(open_keys, "key", "left_semi").join(sketches, "node").join(found, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    more = written(bucket_rest(rest, APART).join(failed, ["a", "b"], "left_anti"), "wide-rest")
+    linked = linked.union(verified(more, whole, similarity, shingle).where("near").select("a", "b"))
     found = components(linked, "near-components").withColumnRenamed("component", "group")
     heads = nodes.select("same", "node").join(found, "node", "left").select("same", F.coalesce("group", "node").alias("group"))
     return rows.select("doc_id", "same").join(heads, "same").select("doc_id", "group")

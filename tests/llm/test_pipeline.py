@@ -82,6 +82,32 @@ def test_near_copies_planted(spark):
     assert simhash.near_groups(own.where("false")).count() == 0
 
 
+def test_near_copies_beside_the_same_words_in_another_order(spark):
+    r = random.Random(5)
+    texts, copies = {}, []
+    for f in range(30):
+        base = [f"f{f}word{i}" for i in range(200)]
+        other = list(base)
+        r.shuffle(other)
+        copy = list(base)
+        copy[r.randrange(200)] = "edited"
+        for listed in (other, base, copy):
+            texts[len(texts)] = " ".join(listed)
+        copies.append((len(texts) - 2, len(texts) - 1))
+    got = {x["doc_id"]: x["group"] for x in simhash.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all(got[a] == got[b] == a for a, b in copies)
+    assert all(got[a - 1] == a - 1 for a, _ in copies)
+
+
+def test_pairs_left_open_by_a_failed_edge_are_verified(spark, monkeypatch):
+    # equal sketches: the first of each bucket stands between all others, as nothing tells which pairs are near
+    monkeypatch.setattr(simhash, "sketch", lambda least: np.zeros(64, np.uint8))
+    base = [f"word{i}" for i in range(200)]
+    texts = {0: " ".join(reversed(base)), 1: " ".join(base), 2: " ".join([*base[:-1], "edited"]), 3: " ".join(base[::2] + base[1::2])}
+    got = {x["doc_id"]: x["group"] for x in simhash.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)).collect()}
+    assert got == {0: 0, 1: 1, 2: 1, 3: 3}
+
+
 def test_components(spark):
     r = random.Random(2)
     edges = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5000, 5000 + i) for i in range(1, 200)] + [(None, 3), (7, 7)]
