@@ -99,6 +99,47 @@ def test_near_copies_beside_the_same_words_in_another_order(spark):
     assert all(got[a - 1] == a - 1 for a, _ in copies)
 
 
+@pytest.mark.parametrize("kind", ["appended", "truncated", "substituted"])
+@pytest.mark.parametrize("size", [30, 100, 300, 2000])
+def test_near_copies_share_a_key(kind, size):
+    r = random.Random(3)
+    draw = lambda n: [f"w{i}" for i in r.choices(range(3000), [1 / (i + 1) for i in range(3000)], k=n)]
+
+    def keys(text):
+        found = simhash.wide_keys(simhash.wide_print(text).reshape(1, -1))[1]
+        return {*found.tolist(), *simhash.bands(simhash.minima(simhash.shingle_hashes(text, 5))).tolist()}
+
+    met, near = 0, 0
+    for _ in range(60):
+        base = draw(size)
+        if kind == "appended":
+            copy = base + draw(int(size * 0.22))
+        elif kind == "truncated":
+            copy = base[: -int(size * 0.17)]
+        else:
+            copy = list(base)
+            # an edit amid 30 words leaves too few shingles
+            for x in r.sample(range(size) if size > 30 else range(28, 30), max(1, int(size * 0.02))):
+                copy[x] = f"new{x}"
+        a, b = " ".join(base), " ".join(copy)
+        if len(near_by_force({0: a, 1: b})[1]):
+            near += 1
+            met += bool(keys(a) & keys(b))
+    assert near > 30
+    assert met == near
+
+
+def test_appended_and_truncated_copies_are_found(spark):
+    r = random.Random(4)
+    texts = {}
+    for _ in range(60):
+        base = [f"w{i}" for i in r.choices(range(3000), [1 / (i + 1) for i in range(3000)], k=r.choice([100, 300, 1000]))]
+        for listed in (base, base[: -int(len(base) * 0.17)]):
+            texts[len(texts)] = " ".join(listed)
+    got = {x["doc_id"]: x["group"] for x in simhash.near_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert got == near_by_force(texts)[0] == {d: d - d % 2 for d in texts}
+
+
 def test_pairs_left_open_by_a_failed_edge_are_verified(spark, monkeypatch):
     # equal sketches: the first of each bucket stands between all others, as nothing tells which pairs are near
     monkeypatch.setattr(simhash, "sketch", lambda least: np.zeros(64, np.uint8))
