@@ -430,8 +430,8 @@ SELECT vec_id, k, round({scale} * sum(v * cos(2 * pi() * k * n / 64)), 5) + 0.0
 """
 
 
-def signal(spark, sf_dir, f, limit=None, places=5) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("vec_id < 40").select("vec_id", F.posexplode("embedding").alias("n", "v"))
+def signal(spark, sf_dir, f, limit=None, places=5, rows="vec_id < 40") -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").where(rows).select("vec_id", F.posexplode("embedding").alias("n", "v"))
     e = e.where(F.col("n") < limit) if limit else e
     got = f(Stream.of(e, F.col("v").cast("double"), "n", "vec_id").to_statistics())
     return got.select("vec_id", "k", (F.round("re", places) + 0.0).alias("re"), (F.round("im", places) + 0.0).alias("im"))
@@ -460,6 +460,31 @@ def ifft_padded(spark, sf_dir):
     return signal(spark, sf_dir, lambda s: s.ifft(), 50)
 
 
+# the same over every vector of the table
+
+SPECTRUM_ALL, PADDED_ALL = (sql.replace("FROM embeddings WHERE vec_id < 40)", "FROM embeddings)") for sql in (SPECTRUM, PADDED))
+
+
+@query(SPECTRUM_ALL.format(scale="1.0", sign="-1"))
+def dft_all_vectors(spark, sf_dir):
+    return signal(spark, sf_dir, lambda s: s.dft(), rows="true")
+
+
+@query(SPECTRUM_ALL.format(scale="(1.0 / 64)", sign="1"))
+def idft_all_vectors(spark, sf_dir):
+    return signal(spark, sf_dir, lambda s: s.idft(), rows="true")
+
+
+@query(PADDED_ALL.format(scale="1.0", sign="-1"))
+def fft_all_padded(spark, sf_dir):
+    return signal(spark, sf_dir, lambda s: s.fft(), 50, rows="true")
+
+
+@query(PADDED_ALL.format(scale="(1.0 / 50)", sign="1"))
+def ifft_all_padded(spark, sf_dir):
+    return signal(spark, sf_dir, lambda s: s.ifft(), 50, rows="true")
+
+
 # ---- text functions
 
 

@@ -45,3 +45,10 @@ def test_every_oracle_has_a_query():
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["dft_all_vectors", "idft_all_vectors", "fft_all_padded", "ifft_all_padded"])
+def test_transforms_of_every_vector(spark, db, name):
+    got = {r["vec_id"] for r in entry.queries()[name](spark, SF).select("vec_id").distinct().collect()}
+    assert got == {r[0] for r in db.execute("SELECT vec_id FROM embeddings").fetchall()}
