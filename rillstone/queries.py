@@ -529,6 +529,18 @@ def text_codepoints(spark, sf_dir):
     return t.select("doc_id", long_("pos").alias("pos"), "point")
 
 
+@query("SELECT doc_id, sha256(array_to_string(list_reverse([c for c in string_split(text, '') if c <> '']), '')) AS back, sha256(repeat(text, 3)) AS thrice FROM documents")
+def text_reverse_whole(spark, sf_dir):
+    t = F.col("text")
+    return texts(spark, sf_dir).select("doc_id", F.sha2(text.reverse(t), 256).alias("back"), F.sha2(text.repeat(t, 3), 256).alias("thrice"))
+
+
+@query("SELECT doc_id, length(text) AS n, sha256(array_to_string([unicode(c) for c in string_split(text, '') if c <> ''], ',')) AS points FROM documents")
+def text_codepoints_whole(spark, sf_dir):
+    t = texts(spark, sf_dir).withColumn("p", text.code_points(F.col("text")))
+    return t.select("doc_id", long_(F.size("p")).alias("n"), F.sha2(F.array_join(F.col("p").cast("array<string>"), ","), 256).alias("points"))
+
+
 @query("SELECT doc_id, sha256(text) AS back, octet_length(encode(text)) AS utf8, CAST(2 * length(text) AS BIGINT) AS utf16, CAST(4 * length(text) AS BIGINT) AS utf32, sha256(regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')) AS plain FROM documents")
 def charset_roundtrip(spark, sf_dir):
     t = F.col("text")

@@ -1,5 +1,6 @@
 """Every registered query against its SQL, at the smallest scale, and the driver's contract."""
 
+import hashlib
 import os
 
 import duckdb
@@ -52,3 +53,14 @@ def test_entry(spark):
 def test_transforms_of_every_vector(spark, db, name):
     got = {r["vec_id"] for r in entry.queries()[name](spark, SF).select("vec_id").distinct().collect()}
     assert got == {r[0] for r in db.execute("SELECT vec_id FROM embeddings").fetchall()}
+
+
+def test_whole_texts_are_reversed_and_cut_into_code_points(spark, tmp_path):
+    long = "a\u00e9\u0416\U0001f600" * 30_000 + "end"
+    listed = {1: long, 2: "", 3: "x"}
+    spark.createDataFrame(list(listed.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {r["doc_id"]: (r["back"], r["thrice"]) for r in entry.queries()["text_reverse_whole"](spark, str(tmp_path)).collect()}
+    assert got == {d: (sha(t[::-1]), sha(t * 3)) for d, t in listed.items()}
+    got = {r["doc_id"]: (r["n"], r["points"]) for r in entry.queries()["text_codepoints_whole"](spark, str(tmp_path)).collect()}
+    assert got == {d: (len(t), sha(",".join(str(ord(c)) for c in t))) for d, t in listed.items()}
