@@ -28,8 +28,8 @@ from .common import cut_words, map_arrow, number_words, stretches, written
 
 #: Hashed n-grams; the fitted table has as many 4-byte entries at most.
 BUCKETS = 1 << 20
-#: Labelled documents that the models are fitted on, and letters of each that they read. Every document is scored whole.
-FITTED, READ = 40_000, 20_000
+#: Labelled documents that the models are fitted on, each whole, as every document is scored.
+FITTED = 40_000
 #: Added to the document counts of both models.
 PRIOR = 2.0
 #: Log ratios below this weigh nothing; the others are less by it.
@@ -114,8 +114,7 @@ def counts_of(rows: DataFrame) -> DataFrame:
     def start():
         def run(batch):
             raw, target = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
-            texts = [t[:READ] for t in batch.column(0).to_pylist()]
-            for found, is_target in zip(grams(texts), batch.column(1).to_pylist(), strict=True):
+            for found, is_target in zip(grams(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
                 raw[found] += 1
                 raw[-1] += 1
                 if is_target:

@@ -224,3 +224,12 @@ def test_stages(spark):
 @tables
 def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_quality_is_fitted_on_whole_texts(spark):
+    text = " ".join(f"w{i % 50}" for i in range(10_000)) + " onlyattheend"
+    assert len(text) > 20_000
+    rows = spark.createDataFrame([(text, False), ("short text", True)], "text string, target boolean")
+    got = {r["bucket"]: r["raw"] for r in quality.counts_of(rows).collect()}
+    want = [found.tolist() for found in quality.grams([text, "short text"])]
+    assert set(got) == {*want[0], *want[1], -1}
