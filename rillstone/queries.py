@@ -504,6 +504,12 @@ def text_split(spark, sf_dir):
     return t.select("doc_id", F.size("f").alias("fields"), F.element_at("f", -1).alias("last"))
 
 
+@query("SELECT doc_id, CAST(CASE WHEN text <> '' THEN len(string_split(text, '. ')) ELSE 0 END AS INTEGER) AS fields, CASE WHEN text <> '' THEN string_split(text, '. ')[-1] END AS last FROM documents")
+def text_split_all(spark, sf_dir):
+    t = texts(spark, sf_dir).withColumn("f", F.coalesce(text.split(F.col("text"), ". "), F.expr("cast(array() as array<string>)")))
+    return t.select("doc_id", F.size("f").alias("fields"), F.try_element_at("f", F.lit(-1)).alias("last"))
+
+
 @query("SELECT doc_id, CAST(strpos(text, 'th') - 1 AS INTEGER) AS first, CAST(CASE WHEN strpos(text, 'th') = 0 THEN -1 ELSE length(text) - 2 - (strpos(reverse(text), 'ht') - 1) END AS INTEGER) AS last, CAST(length(text) AS INTEGER) AS size, contains(text, 'the') AS has, starts_with(text, 'T') AS starts, ends_with(text, '.') AS ends FROM documents")
 def text_index(spark, sf_dir):
     t = F.col("text")

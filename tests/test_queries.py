@@ -64,3 +64,14 @@ def test_whole_texts_are_reversed_and_cut_into_code_points(spark, tmp_path):
     assert got == {d: (sha(t[::-1]), sha(t * 3)) for d, t in listed.items()}
     got = {r["doc_id"]: (r["n"], r["points"]) for r in entry.queries()["text_codepoints_whole"](spark, str(tmp_path)).collect()}
     assert got == {d: (len(t), sha(",".join(str(ord(c)) for c in t))) for d, t in listed.items()}
+
+
+def test_split_of_empty_and_null_texts(spark, tmp_path):
+    listed = [(1, "one. two"), (2, ""), (3, None), (4, "x. ")]
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(listed, "doc_id long, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
+    want = {(1, 2, "two"), (2, 0, None), (3, 0, None), (4, 2, "")}
+    assert {tuple(r) for r in entry.queries()["text_split_all"](spark, str(tmp_path)).select("doc_id", "fields", "last").collect()} == want
+    assert set(con.execute(entry.oracle_sql()["text_split_all"]).fetchall()) == want
