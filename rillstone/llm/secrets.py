@@ -38,10 +38,11 @@ class CharClass:
 CLASSES = (CharClass("entropy_hex", "0-9A-Fa-f", 3.3), CharClass("entropy_base64", "A-Za-z0-9+/_-", 3.9))
 
 #: Candidates in which one of these is found are no secrets: letters alone, digits and signs alone, one word or number after another, UUIDs, and the keys of documentation.
+#: No group is repeated without a bound: the matcher calls itself for each turn of one, and a long candidate would end its stack.
 ALLOW = (
     r"^[A-Za-z]+$",
     r"^[0-9+/_-]+$",
-    r"^(?:[A-Za-z]+|[0-9]+)(?:[+/_-]+(?:[A-Za-z]+|[0-9]+))*$",
+    r"^(?![\s\S]*(?:[A-Za-z][0-9]|[0-9][A-Za-z]))[A-Za-z0-9](?:[\s\S]*[A-Za-z0-9])?$",
     r"^[0-9A-Fa-f]{8}-(?:[0-9A-Fa-f]{4}-){3}[0-9A-Fa-f]{12}$",
     r"(?i)example|placeholder|x{8}",
 )
@@ -139,7 +140,8 @@ def spans(docs: DataFrame, text_col: str = "text", classes: tuple[CharClass, ...
     """docs with ``base`` and ``added``: arrays of start, kind (its place among KINDS, then classes), end, by start, then kind.
 
     Null texts count as empty, and no text is cut. Places are code points, the
-    end exclusive. Nothing is shuffled. Columns of docs named base or added are
+    end exclusive. Rows that repeat are scanned each, and an empty table gives
+    no rows. Nothing is shuffled. Columns of docs named base or added are
     replaced.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -167,25 +169,60 @@ def said(found: Column, classes: tuple[CharClass, ...] = CLASSES) -> Column:
 
 
 def secret_digests(docs: DataFrame) -> DataFrame:
-    """doc_id, the count of each base kind, the digest of the base spans, and all spans."""
+    """doc_id, the count of each base kind, the digest of the base spans, and all spans.
+
+    Null and empty texts have no spans and the digest of an empty string; rows
+    that repeat, and rows with a null id, give a row each; an empty table gives
+    none. Other columns are not carried.
+    """
     found = spans(docs.select(F.col("doc_id").cast("long"), "text")).select("doc_id", "base", "added")
     return found.select("doc_id", *[counted(k).alias(f"n_{name}") for k, (name, _) in enumerate(KINDS)], F.sha2(F.encode(said(F.col("base")), "UTF-8"), 256).alias("base_sha256"), said(F.array_sort(F.concat("base", "added"))).alias("spans"))
 
 
+#: Code points of the pieces that a text is cut into before spans are cut out of it.
+PIECE = 1024
+
+
+def reached(found: Column) -> Column:
+    """The largest end of the spans before each, 0 before the first, in blocks of STEP."""
+    ends = F.transform(found, lambda s: s["end"])
+    blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / STEP).cast("int"))
+    part = lambda b: F.slice(ends, b * STEP + 1, STEP)
+    running = lambda a, first: F.aggregate(a, F.array(first), lambda s, x: F.array_append(s, F.greatest(F.element_at(s, -1), x)))
+    return let(
+        running(F.transform(blocks, lambda b: F.array_max(part(b))), F.lit(0)),
+        lambda firsts: F.flatten(F.transform(blocks, lambda b: let(part(b), lambda a: F.slice(running(a, firsts[b]), 1, F.size(a))))),
+    )
+
+
+def between(pieces: Column, a: Column, b: Column) -> Column:
+    """The code points from a up to b of a text that is cut into pieces of PIECE; only the pieces at its ends are walked."""
+    first, last = F.floor(a / PIECE).cast("int"), F.floor(b / PIECE).cast("int")
+    head = F.coalesce(F.get(pieces, first), F.lit(""))
+    tail = F.substring(F.coalesce(F.get(pieces, last), F.lit("")), F.lit(1), b % PIECE)
+    inner = F.array_join(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(first == last, F.substring(head, a % PIECE + 1, b - a)).otherwise(F.concat(F.substring(head, a % PIECE + 1, F.lit(PIECE)), inner, tail))
+
+
 def redacted(docs: DataFrame, text_col: str = "text", mask: str = "[REDACTED]") -> DataFrame:
-    """docs with every span, base or added, replaced in the text by ``mask``; spans that touch or overlap are one. Null texts stay null."""
-    found = spans(docs, text_col)
-
-    def join(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        grown = F.array_append(F.slice(done, 1, F.size(done) - 1), F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")))
-        return F.when(s["start"] <= last["end"], grown).otherwise(F.array_append(done, F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-
-    # a span before the text keeps the fold free of a case for its start
-    first = F.array(F.struct(F.lit(-2).alias("start"), F.lit(-1).alias("end")))
-    found = found.withColumn("_spans", F.slice(F.aggregate(F.array_sort(F.concat("base", "added")), first, join), 2, 1 << 30))
-    text = F.col(text_col)
-    whole = F.transform("_spans", lambda s, i: F.concat(let(F.when(i > 0, F.col("_spans")[i - 1]["end"]).otherwise(0), lambda a: F.substring(text, a + 1, s["start"] - a)), F.lit(mask)))
-    tail = F.substring(text, F.element_at("_spans", -1)["end"] + 1, F.length(text))
-    new = F.when(F.size("_spans") == 0, text).otherwise(F.concat(F.array_join(whole, ""), tail))
-    return found.withColumn(text_col, new).drop("base", "added", "_spans")
+    """docs with every span, base or added, replaced in the text by ``mask``; spans that touch or overlap are one.
+
+    Null texts stay null, empty ones empty; rows that repeat are redacted each,
+    and an empty table gives no rows. All other columns stay, whatever their
+    names. The time of a text grows with its length and its spans, not with
+    their product.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    text = F.col("_text")
+    found = spans(rows, "_text").withColumn("_spans", F.array_sort(F.concat("base", "added")))
+    some = F.size("_spans") > 0
+    found = found.withColumn("_at", F.when(some, F.struct(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("pieces"), reached(F.col("_spans")).alias("reached"))))
+    pieces = F.col("_at.pieces")
+
+    def masked(s: Column, a: Column) -> Column:
+        # a span that starts beyond all ends before it opens a mask, and so does the first; the others are under one already
+        return F.when((s["start"] > a) | (a == 0), F.concat(between(pieces, a, s["start"]), F.lit(mask))).otherwise("")
+
+    end = F.array_max(F.transform("_spans", lambda s: s["end"]))
+    new = F.when(some, F.concat(F.array_join(F.zip_with("_spans", "_at.reached", masked), ""), between(pieces, end, F.length(text)))).otherwise(text)
+    return found.select(*[(new if c == text_col else F.col("_row").getField(c)).alias(c) for c in docs.columns])
