@@ -7,8 +7,10 @@ of everything before it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,36 +32,63 @@ OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder's path below the folder that driver and executors share.
 
-    Only where ``spark.checkpoint.dir`` is unset (single-machine tests) a
-    temporary folder is set in its place.
+    Where ``spark.checkpoint.dir`` is unset a temporary folder takes its place
+    on a single machine; on a cluster, whose executors would each write to their
+    own disk, that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = OWN.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="rillstone-")
         OWN[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-#: Rows that go to Python at once in a written step: whole texts, of which thousands must fit a worker beside its tables.
+def removed(spark: SparkSession, *paths: str) -> None:
+    """Deletes folders that hold nothing any more that a result reads."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Rows that go to Python at once: whole texts, of which thousands must fit a worker beside its tables.
 ROWS = 2_000
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """The rows of df, written to the shared folder and read again: its lineage ends here. Arrow batches have ROWS rows at most meanwhile."""
+def small_batches(spark: SparkSession) -> None:
+    """Holds Arrow batches of this session to ROWS rows from now on; no result depends on it. It is not set back, as another query may be running."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(rows))
+    if now <= 0 or now > ROWS:
+        spark.conf.set(rows, str(ROWS))
+
+
+#: Where written() put what it returned.
+PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def written(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
+    """The rows of df, written to the shared folder, in a folder for each value of the column ``by`` if it is given, and read again: its lineage ends here."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(rows)
-    spark.conf.set(rows, str(ROWS if int(before) <= 0 else min(ROWS, int(before))))
-    try:
-        df.write.option("compression", codec).parquet(path)
-    finally:
-        spark.conf.set(rows, before)
-    return spark.read.schema(df.schema).parquet(path)
+    small_batches(spark)
+    to = df.write.option("compression", codec)
+    (to.partitionBy(by) if by else to).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    PATHS[out] = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes what written() returned, once everything made of it is written itself."""
+    for t in tables:
+        removed(t.sparkSession, PATHS.pop(t))
 
 
 def map_arrow(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function made once per task by ``start``."""
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = start()
@@ -124,7 +153,8 @@ def components(edges: DataFrame, name: str = "components", rounds: int = 40) ->
         large = large.distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        cur = written(small, name)
+        cur, old = written(small, name), cur
+        dropped(old)
         now = cur.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if now == seen:
             break

@@ -2,25 +2,30 @@
 
 Documents come in batches by rising id. A run is a table of (hash, first
 document), bucketed by hash and sorted in its buckets. Each batch's hashes are
-merge-anti-joined with every run, and what is left becomes a run of level 0;
-when a level holds FANOUT runs they are merged to one of the next. A hash stands
-in one run, with the smallest document that holds it. Everything is DataFrame
-operations; hashes are counted per task before they are shuffled.
+merge-joined with every run: what a run holds is lost to that run's document,
+and what none holds, the anti join, becomes a run of level 0; when a level holds
+FANOUT runs they are merged to one of the next. A hash stands in one run, with
+the smallest document that holds it. Everything is DataFrame operations; hashes
+are counted per task before they are shuffled.
 """
 
 from __future__ import annotations
 
+import functools
+import math
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, UPPER, shared_dir, written
+from .common import LOWER, SPACES, UPPER, dropped, removed, shared_dir, written
 
 #: Keys of fewer code points are never dropped.
 LEAST = 10
 FANOUT = 2
 BATCHES = 4
+#: Lines that a bucket of a run holds; more buckets than shuffle partitions are made for more.
+PER_BUCKET = 4_000_000
 
 
 def line_key(line: Column) -> Column:
@@ -31,28 +36,36 @@ def line_key(line: Column) -> Column:
 class LineRuns:
     """The levelled runs of one corpus. ``buckets`` is the number of parts that each run is dealt out to."""
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, fanout: int = FANOUT):
-        self.spark, self.fanout = spark, fanout
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def __init__(self, spark: SparkSession, buckets: int, fanout: int = FANOUT):
+        self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.levels: list[list[str]] = []
+        self.paths: dict[str, str] = {}
 
     def run(self, name: str) -> DataFrame:
-        return self.spark.table(name)
+        """hash, first of a run."""
+        return self.spark.table(name).where(~F.col("held")).select("hash", "first")
 
     def all_runs(self) -> list[DataFrame]:
         return [self.run(n) for level in self.levels for n in level]
 
     def write(self, rows: DataFrame) -> str:
+        """A table of hash, first, more, held (a folder each for those that an older run holds and the others)."""
         name = f"line_run_{uuid.uuid4().hex}"
-        rows.repartition(self.buckets, "hash").write.format("parquet").option("path", shared_dir(self.spark, name)).option("compression", "zstd").bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(name)
+        self.paths[name] = shared_dir(self.spark, name)
+        rows.repartition(self.buckets, "hash").write.format("parquet").option("path", self.paths[name]).option("compression", "zstd").partitionBy("held").bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(name)
         return name
 
-    def add(self, lines: DataFrame) -> None:
-        """Adds a batch of (hash, doc_id); all of its documents must follow those of the batches before."""
-        new = lines.groupBy("hash").agg(F.min("doc_id").alias("first"))
-        for run in self.all_runs():
-            new = new.hint("merge").join(run.select("hash"), "hash", "left_anti")
-        self.place(self.write(new), 0)
+    def add(self, lines: DataFrame) -> DataFrame:
+        """Adds a batch of (hash, doc_id), whose documents follow those of the batches before. Returns hash, keeper of the hashes that lose lines of this batch, all but the keeper's."""
+        new = lines.groupBy("hash").agg(F.min("doc_id").alias("first"), (F.min("doc_id") < F.max("doc_id")).alias("more"))
+        older = []
+        for k, run in enumerate(self.all_runs()):
+            new = new.hint("merge").join(run.toDF("hash", f"_run{k}"), "hash", "left")
+            older.append(F.col(f"_run{k}"))
+        held = F.coalesce(*older) if older else F.lit(None).cast("long")
+        name = self.write(new.select("hash", F.coalesce(held, "first").alias("first"), "more", held.isNotNull().alias("held")))
+        self.place(name, 0)
+        return self.spark.table(name).where("held or more").select("hash", F.col("first").alias("keeper"))
 
     def place(self, name: str, level: int) -> None:
         """Puts a run on a level, and merges the level into the next when it is full."""
@@ -64,10 +77,14 @@ class LineRuns:
             whole = self.run(full[0])
             for other in full[1:]:
                 whole = whole.unionAll(self.run(other))
-            merged = self.write(whole)
-            for old in full:
-                self.spark.sql(f"DROP TABLE IF EXISTS {old}")
-            self.place(merged, level + 1)
+            self.place(self.write(whole.withColumns({"more": F.lit(False), "held": F.lit(False)})), level + 1)
+
+    def drop(self) -> None:
+        """Removes all tables and their files."""
+        for name, path in self.paths.items():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            removed(self.spark, path)
+        self.paths, self.levels = {}, []
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, batches: int = BATCHES) -> DataFrame:
@@ -75,8 +92,11 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     The line hashes of all documents are written once, dealt into batches by
     id; a batch's bounds are quantiles of the ids, and do not change the result.
+    Each line is read twice: to be counted for its batch, and to be dropped if
+    the runs, or its batch's own counts, name another document as its keeper.
     Rows that share an id count as one document. Rows with a null id neither
-    lose lines nor count. The hash is MD5 of the whole key.
+    lose lines nor count. The hash is MD5 of the whole key. All tables made
+    meanwhile are removed but the result's.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("row")).where(F.col("doc_id").isNotNull())
@@ -86,18 +106,15 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         batch = batch + (F.col("doc_id") > b).cast("int")
     keys = F.transform(F.split("text", "\n", -1), lambda line, i: F.struct(i.alias("at"), line_key(line).alias("key")))
     line = rows.select("doc_id", "row", batch.alias("batch"), F.explode(F.filter(keys, lambda x: F.length(x["key"]) >= least)).alias("x"))
-    lines = written(line.select("doc_id", "row", "batch", F.col("x.at").alias("at"), F.unhex(F.md5(F.encode("x.key", "UTF-8"))).alias("hash")), "lines")
-    runs = LineRuns(spark)
-    for b in range(len(bounds) + 1):
-        runs.add(lines.where(F.col("batch") == b).select("hash", "doc_id"))
-    known = runs.all_runs()
-    whole = known[0]
-    for other in known[1:]:
-        whole = whole.unionAll(other)
-    # the hashes that a second document holds: the only ones that lines are joined to
-    again = written(lines.groupBy("hash").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("hash").join(whole, "hash"), "repeated")
-    lost = lines.select("doc_id", "row", "at", "hash").join(again, "hash").where("doc_id <> first")
-    return lost.groupBy("doc_id", "row").agg(F.collect_set("at").alias("drop")).withColumnRenamed("doc_id", "id")
+    lines = written(line.select("doc_id", "row", F.col("x.at").alias("at"), F.unhex(F.md5(F.encode("x.key", "UTF-8"))).alias("hash"), "batch"), "lines", by="batch")
+    runs = LineRuns(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(lines.count() / PER_BUCKET)))
+    marks = [runs.add(lines.where(F.col("batch") == b).select("hash", "doc_id")).withColumn("batch", F.lit(b)) for b in range(len(bounds) + 1)]
+    known = functools.reduce(DataFrame.unionAll, marks)
+    lost = lines.join(known, ["batch", "hash"]).where("doc_id <> keeper")
+    out = written(lost.groupBy("doc_id", "row").agg(F.collect_set("at").alias("drop")).withColumnRenamed("doc_id", "id"), "lost-lines")
+    dropped(lines)
+    runs.drop()
+    return out
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, batches: int = BATCHES) -> DataFrame:
