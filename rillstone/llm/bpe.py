@@ -104,6 +104,8 @@ class WordBPE:
         vocab, self.suffix = model["vocab"], model["end_of_word_suffix"] or ""
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        self.name_table = pa.array([self.names.get(i) for i in range(max(self.names) + 1)], pa.large_string())
+        self.is_name = np.array([*(i in self.names for i in range(max(self.names) + 1)), False])
         # the rank above the new id, so that the smallest number is the smallest rank
         self.merges: dict[tuple[int, int], int] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -190,26 +192,16 @@ class WordBPE:
                     heapq.heappush(heap, (m >> WIDTH, x, ids[x], ids[y], m & ID))
         return [x for x in ids if x >= 0]
 
-    def word(self, word: str) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit integers, and their names joined by blanks."""
+    def word(self, word: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
         raw = word.encode()
         ids = self.merge([self.inner[b] for b in raw[:-1]] + [self.last[raw[-1]]])
-        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.names[i] for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def cuts(self, text: str) -> list[str]:
         """The text cut at special tokens, which stand at the odd places."""
         return self.cut.split(text) if "<|" in text else [text]
 
-    def parts(self, text: str) -> list[tuple[bytes, str]]:
-        """(ids, names) of each word and special token of a whole text."""
-        out, known = [], self.known
-        for k, piece in enumerate(self.cuts(text)):
-            if k % 2:
-                out.append((self.special[piece].to_bytes(4, "little"), piece))
-            elif piece:
-                out += [known[w] for w in self.split(piece)]
-        return out
-
     def words_of(self, text: str) -> list[str]:
         """The words and special tokens of a whole text."""
         return [w for k, piece in enumerate(self.cuts(text)) for w in ([piece] if k % 2 else self.split(piece))]
@@ -228,19 +220,35 @@ class WordBPE:
             words = pa.concat_arrays([words, pa.array([w for ws in own for w in ws], pa.string())])
             yield plain + odd, *number_words(words, np.concatenate([counts, np.array([len(ws) for ws in own], np.int64)]))
 
-    def made(self, words: list[str]) -> list[tuple[bytes, str]]:
-        """(ids, names) of different words."""
-        special = {w: (i.to_bytes(4, "little"), w) for w, i in self.special.items()} | {"": (b"", "")}
+    def ids_of(self, words: list[str]) -> list[bytes]:
+        """The ids of different words."""
+        special = {w: i.to_bytes(4, "little") for w, i in self.special.items()} | {"": b""}
         known = self.known
         return [special[w] if w in special else known[w] for w in words]
 
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        out = [b""] * len(texts)
+        for places, words, number, ends in self.cut_up(texts):
+            for i, ids in zip(places, laid_out(self.ids_of(words), number, ends), strict=True):
+                out[i] = ids
+        return out
+
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        return b"".join(p[0] for p in self.parts(text))
+        return self.encode_all([text])[0]
+
+    def decode_all(self, rows: list[bytes]) -> Iterator[str]:
+        """The text of each row of ids: their names joined by blanks, as the file names no decoder; unknown ids are left out."""
+        for part in stretches(rows):
+            own = rows[part.start : part.stop]
+            ids = np.frombuffer(b"".join(own), "<u4").astype(np.int64)
+            real = self.is_name[np.minimum(ids, len(self.is_name) - 1)]
+            ends = np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum([len(x) // 4 for x in own])])]
+            named = self.name_table.take(pa.array(ids[real]))
+            yield from pc.binary_join(pa.LargeListArray.from_arrays(pa.array(ends), named), pa.scalar(" ", pa.large_string())).to_pylist()
 
     def decode(self, ids: list[int]) -> str:
-        """The names joined by blanks, as the file names no decoder; unknown ids are left out."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        return next(self.decode_all([struct.pack(f"<{len(ids)}I", *ids)]))
 
 
 def laid_out(made: list[bytes], number: np.ndarray, ends: np.ndarray) -> list[bytes]:
@@ -255,49 +263,40 @@ def laid_out(made: list[bytes], number: np.ndarray, ends: np.ndarray) -> list[by
     return [ids[a:b].tobytes() for a, b in zip(bounds, bounds[1:])]
 
 
-def joined(names: list[str], number: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The names of each text's words, with blanks between."""
-    taken = pa.array(names, pa.string()).take(pa.array(number))
-    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), taken), " ")
-
-
 @functools.lru_cache(maxsize=2)
 def loaded(path: str) -> WordBPE:
     return WordBPE(path)
 
 
 def encode_texts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit, binary), decoded of every row; other columns are not carried.
+    """doc_id, ids (little-endian unsigned 32-bit, binary) of every row; other columns are not carried.
 
-    A null text counts as empty and gives no ids. Rows that repeat are encoded
-    each. One row is held at a time besides its Arrow batch; nothing is shuffled.
+    A null text counts as empty and gives no ids; a null id stays null. Rows that
+    repeat are encoded each, and an empty table gives no rows. A text of any
+    length is encoded whole: a task holds an Arrow batch and about STRETCH
+    letters, or one longer text, at a time; nothing is shuffled.
     """
 
     def start():
         bpe = loaded(path)
 
         def run(batch):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids, names = [b""] * len(texts), [""] * len(texts)
-            for places, words, number, ends in bpe.cut_up(texts):
-                made = bpe.made(words)
-                for i, x, y in zip(places, laid_out([m[0] for m in made], number, ends), joined([m[1] for m in made], number, ends).to_pylist(), strict=True):
-                    ids[i], names[i] = x, y
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(names, pa.string())], ["doc_id", "ids", "decoded"])
+            ids = bpe.encode_all([t or "" for t in batch.column(1).to_pylist()])
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
         return run
 
-    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), start, "doc_id long, ids binary, decoded string")
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), start, "doc_id long, ids binary")
 
 
 def decode_ids(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id, text of rows of ids as encode_texts gives them; null ids give an empty text."""
+    """doc_id, text of rows of ids as encode_texts gives them; null ids give an empty text, and ids that the vocabulary does not have are left out."""
 
     def start():
         bpe = loaded(path)
 
         def run(batch):
-            texts = [bpe.decode([int.from_bytes(x[i : i + 4], "little") for i in range(0, len(x), 4)]) if x else "" for x in batch.column(1).to_pylist()]
+            texts = list(bpe.decode_all([x or b"" for x in batch.column(1).to_pylist()]))
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
         return run
@@ -306,22 +305,20 @@ def decode_ids(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str
 
 
 def bpe_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of encode_texts, hashed where the ids are made, so that neither leaves its worker."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256: texts are encoded, and the ids decoded, where they are hashed, so that neither leaves its worker.
+
+    Null and empty texts have no tokens and the digests of empty strings; nulls,
+    repeated rows and empty tables are as in encode_texts.
+    """
 
     def start():
         bpe = loaded(path)
 
         def run(batch):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            out = [(0, "", "")] * len(texts)
-            for places, words, number, ends in bpe.cut_up(texts):
-                made = bpe.made(words)
-                ids = laid_out([m[0] for m in made], number, ends)
-                names = joined([m[1] for m in made], number, ends)
-                for i, x, y in zip(places, ids, names, strict=True):
-                    out[i] = len(x) // 4, hashlib.sha256(x).hexdigest(), hashlib.sha256(y.as_buffer()).hexdigest()
-            n, ids, names = zip(*out, strict=True)
-            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(names)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            rows = bpe.encode_all([t or "" for t in batch.column(1).to_pylist()])
+            digest = lambda x: hashlib.sha256(x).hexdigest()
+            n, ids, texts = [len(x) // 4 for x in rows], [digest(x) for x in rows], [digest(t.encode()) for t in bpe.decode_all(rows)]
+            return pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(texts)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
         return run
 
