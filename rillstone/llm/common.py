@@ -68,12 +68,12 @@ def small_batches(spark: SparkSession) -> None:
 PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
-def written(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None) -> DataFrame:
-    """The rows of df, written to the shared folder, in a folder for each value of the column ``by`` if it is given, and read again: its lineage ends here."""
+def written(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None, level: int = 3) -> DataFrame:
+    """The rows of df, written to the shared folder, in a folder for each value of the column ``by`` if it is given, and read again: its lineage ends here. ``level`` is how hard zstd packs them."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     small_batches(spark)
-    to = df.write.option("compression", codec)
+    to = df.write.option("compression", codec).option("parquet.compression.codec.zstd.level", level)
     (to.partitionBy(by) if by else to).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     PATHS[out] = path

@@ -17,11 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, written
+from .common import dropped, map_arrow, written
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
-RATE = 8000
+RATE, RESAMPLED = 8000, 16000
 BLOCK = 192
+#: How hard stored samples are packed.
+LEVEL = 13
 
 # The step sizes and index changes of IMA ADPCM.
 STEPS = [
@@ -127,12 +129,19 @@ def expand(tag: int, align: int, data: bytes) -> np.ndarray:
     raise ValueError(f"format {tag} is not known")
 
 
-def store_pcm(rows: DataFrame, id_col: str, media_col: str, to: int = 16000) -> DataFrame:
+def as_pcm(media: bytes, to: int) -> bytes:
+    """A WAV file in any of the four formats as one of 16-bit samples at the rate ``to``; ValueError or struct.error if it cannot be read."""
+    tag, rate, align, data = read_wav(media)
+    return wav(resample(expand(tag, align, data), rate, to).astype("<i2").tobytes(), PCM, to, 2, 16)
+
+
+def store_pcm(rows: DataFrame, id_col: str, media_col: str, to: int = RESAMPLED) -> DataFrame:
     """id, pcm (binary WAV of 16-bit samples at the rate ``to``), error of WAV files in any of the four formats.
 
     Null media, and files that cannot be read, give a null pcm and a stated
-    error. Other columns are not carried. Each row stands alone: nothing is
-    shuffled, and a task holds an Arrow batch and one row's samples.
+    error; rows that repeat give a row each. Other columns are not carried. Each
+    row stands alone: nothing is shuffled, and a task holds an Arrow batch and
+    one row's samples.
     """
 
     def start():
@@ -140,8 +149,7 @@ def store_pcm(rows: DataFrame, id_col: str, media_col: str, to: int = 16000) ->
             if media is None:
                 return None, "null"
             try:
-                tag, rate, align, data = read_wav(media)
-                return wav(resample(expand(tag, align, data), rate, to).astype("<i2").tobytes(), PCM, to, 2, 16), None
+                return as_pcm(media, to), None
             except (ValueError, struct.error) as e:
                 return None, str(e)
 
@@ -169,64 +177,99 @@ def payload_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), start, "doc_id long, n_bytes long, media binary")
 
 
+class Heard:
+    """What is told of samples, which may come in turns: the mean square, the sign changes, and the CRC-32 of the little-endian PCM."""
+
+    def __init__(self):
+        self.n, self.squares, self.changes, self.crc, self.last = 0, 0, 0, 0, None
+
+    def add(self, pcm: np.ndarray) -> Heard:
+        if len(pcm):
+            wide, signs = pcm.astype(np.int64), np.signbit(pcm)
+            self.n += len(pcm)
+            self.squares += int((wide * wide).sum())
+            self.changes += int(np.count_nonzero(signs[1:] != signs[:-1])) + (self.last is not None and bool(signs[0]) != self.last)
+            self.crc, self.last = zlib.crc32(pcm.astype("<i2", copy=False).tobytes(), self.crc), bool(signs[-1])
+        return self
+
+    def __str__(self) -> str:
+        return f"{self.squares // max(1, self.n)},{self.changes},{self.crc:08x}"
+
+
 #: ADPCM blocks that are decoded side by side; 377 samples each.
 TOGETHER = 8192
 
 
-def media_features(media: DataFrame, to: int = 16000) -> DataFrame:
-    """Digests and features of stored mu-law files, all taken from the bytes as read back.
+def heard_as_adpcm(data: list[bytes], together: int = TOGETHER) -> list[Heard]:
+    """What is heard of each row's bytes as ADPCM blocks of BLOCK bytes. Blocks of many rows are decoded at once; a row of more than that many goes on in the next turn."""
+    out = [Heard() for _ in data]
+    todo = [(i, at, min(at + together * BLOCK, len(x))) for i, x in enumerate(data) for at in range(0, len(x), together * BLOCK)]
+    first = 0
+    while first < len(todo):
+        last, size = first, 0
+        while last < len(todo) and (last == first or size + todo[last][2] - todo[last][1] <= together * BLOCK):
+            size, last = size + todo[last][2] - todo[last][1], last + 1
+        turn = todo[first:last]
+        pcm = adpcm_blocks(np.frombuffer(b"".join(data[i][a:b] for i, a, b in turn), np.uint8).reshape(-1, BLOCK))
+        at = 0
+        for i, a, b in turn:
+            out[i].add(pcm[at : at + (b - a) // BLOCK].reshape(-1))
+            at += (b - a) // BLOCK
+        first = last
+    return out
 
-    The same samples are heard three ways: as mu-law and as A-law by table, each
-    resampled to ``to``, and as ADPCM blocks of BLOCK bytes, decoded for many
-    rows at once. The feature string holds, of each, whole numbers: the mean
-    square, the sign changes, and the CRC-32 of the PCM.
-    """
 
-    def start():
-        def said(pcm: np.ndarray) -> str:
-            wide = pcm.astype(np.int64)
-            return f"{int((wide * wide).sum()) // max(1, len(pcm))},{int(np.count_nonzero(np.diff(np.signbit(pcm))))},{zlib.crc32(pcm.astype('<i2', copy=False).tobytes()):08x}"
+STORED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
+
+def stored_pcm(media: DataFrame, to: int = RESAMPLED) -> DataFrame:
+    """Digests of payload_media's files, as read back; ``others``, what is heard of their bytes as A-law, resampled to ``to``, and as ADPCM blocks; and ``pcm``, the mu-law samples as a WAV file resampled to ``to``."""
 
+    def start():
         def run(batch):
             files = batch.column(2).to_pylist()
             data = [read_wav(x)[3] for x in files]
-            per_row = [len(x) // BLOCK for x in data]
-            heard: list[str] = []
-            first = 0
-            while first < len(data):  # rows whose blocks are decoded together
-                last, n = first + 1, per_row[first]
-                while last < len(data) and n + per_row[last] <= TOGETHER:
-                    n, last = n + per_row[last], last + 1
-                blocks = np.frombuffer(b"".join(data[first:last]), np.uint8).reshape(-1, BLOCK)
-                if len(blocks) <= TOGETHER:
-                    pcm = adpcm_blocks(blocks)
-                    ends = np.cumsum([0, *per_row[first:last]])
-                    heard += [said(pcm[a:b].reshape(-1)) for a, b in zip(ends, ends[1:])]
-                else:  # one very long row, in turns
-                    heard.append(";".join(said(adpcm_blocks(blocks[k : k + TOGETHER]).reshape(-1)) for k in range(0, len(blocks), TOGETHER)))
-                first = last
-            out = {
-                "doc_id": batch.column(0),
-                "n_bytes": batch.column(1),
-                "payload_bytes": pa.array([len(x) for x in data], pa.int64()),
-                "payload_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in data]),
-                "tail_crc32": pa.array([zlib.crc32(x[-16:]) for x in data], pa.int64()),
-                "media_bytes": pa.array([len(x) for x in files], pa.int64()),
-                "media_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in files]),
-                "feature": pa.array(
-                    [
-                        "|".join([f"mulaw:{said(resample(expand(MULAW, 1, x), RATE, to))}", f"alaw:{said(resample(expand(ALAW, 1, x), RATE, to))}", f"adpcm:{y}"])
-                        for x, y in zip(data, heard, strict=True)
-                    ]
-                ),
-            }
-            return pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            digest = lambda x: hashlib.sha256(x).hexdigest()
+            columns = [
+                batch.column(0),
+                batch.column(1),
+                pa.array([len(x) for x in data], pa.int64()),
+                pa.array([digest(x) for x in data]),
+                pa.array([zlib.crc32(x[-16:]) for x in data], pa.int64()),
+                pa.array([len(x) for x in files], pa.int64()),
+                pa.array([digest(x) for x in files]),
+                pa.array([f"alaw:{Heard().add(resample(expand(ALAW, 1, x), RATE, to))}|adpcm:{y}" for x, y in zip(data, heard_as_adpcm(data), strict=True)]),
+                pa.array([as_pcm(x, to) for x in files], pa.binary()),
+            ]
+            return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in f"{STORED}, others, pcm".split(", ")])
 
         return run
 
-    return map_arrow(media, start, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return map_arrow(media, start, f"{STORED}, others string, pcm binary")
+
+
+def media_features(stored: DataFrame) -> DataFrame:
+    """The digests of stored_pcm, and ``feature``: of the stored PCM, as read back, and of the same bytes as A-law and as ADPCM, in whole numbers the mean square, the sign changes, and the CRC-32. One form for texts of all lengths."""
+
+    def start():
+        def run(batch):
+            heard = [Heard().add(np.frombuffer(read_wav(x)[3], "<i2")) for x in batch.column(8).to_pylist()]
+            feature = pa.array([f"mulaw:{h}|{o}" for h, o in zip(heard, batch.column(7).to_pylist(), strict=True)])
+            return pa.RecordBatch.from_arrays([*batch.columns[:7], feature], [*batch.schema.names[:7], "feature"])
+
+        return run
+
+    return map_arrow(stored, start, f"{STORED}, feature string")
 
 
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """media_features of payload_media, written to the shared folder between the two. Empty tables give no rows."""
-    return media_features(written(payload_media(docs, id_col, text_col), "media"))
+    """media_features of stored_pcm of payload_media, each written to the shared folder and read back by the next.
+
+    Null and empty texts are one block of blanks; rows that repeat, and rows with
+    a null id, give a row each; equal texts give equal values. Empty tables give
+    no rows. Other columns are not carried.
+    """
+    media = written(payload_media(docs, id_col, text_col), "media", level=LEVEL)
+    stored = written(stored_pcm(media), "pcm", level=LEVEL)
+    dropped(media)
+    return media_features(stored)
