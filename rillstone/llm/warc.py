@@ -10,6 +10,7 @@ Archives are written by Spark's own writer into any file system that it knows.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, shared_dir, written
+from .common import dropped, map_arrow, shared_dir, written
 
 # The fields of an ARC header line by version.
 ARC_FIELDS = {
@@ -35,6 +36,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "20000101000000"
 #: Payloads from this many bytes on may be revisits.
 LEAST = 100
+#: Bytes of an archive, and how hard its records are packed.
+PER_FILE, LEVEL = 32 << 20, 6
 END = b"\r\n\r\n"
 
 
@@ -119,20 +122,24 @@ def warc_record(fields: dict[str, str], block: bytes, row_id: int | None, refers
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()) + "\r\n").encode() + kept
 
 
-def inflated(raw: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """The bytes of a gzip file of any number of members, or of a plain file, in steps."""
+def inflated(raw: bytes, step: int = 1 << 20, fed: int = 1 << 16) -> Iterator[bytes]:
+    """The bytes of a gzip file of any number of members, or of a plain file, in steps; what is fed at once is small, as the rest of it is copied at each member's end."""
     if raw[:2] != b"\x1f\x8b":
         yield raw
         return
-    while raw:
-        z = zlib.decompressobj(31)
-        while raw and not z.eof:
-            out = z.decompress(raw, step)
-            raw = z.unconsumed_tail or z.unused_data
-            if out:
-                yield out
-            elif not raw:
-                break
+    z, rest, at = None, b"", 0
+    while rest or at < len(raw):
+        if not rest:
+            rest, at = raw[at : at + fed], at + fed
+        z = z or zlib.decompressobj(31)
+        out = z.decompress(rest, step)
+        rest = z.unused_data if z.eof else z.unconsumed_tail
+        if z.eof:
+            z = None
+        if out:
+            yield out
+    if z is not None:
+        yield z.flush()
 
 
 def warc_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -162,42 +169,54 @@ def warc_records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], byte
         del buf[: k + 8 + size]
 
 
-def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, per_file: int = 20_000) -> str:
-    """Writes pages as gzipped WARC files, by way of ARC records; returns their folder.
+def archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least: int = LEAST, per_file: int = PER_FILE) -> str:
+    """Writes pages as WARC files, by way of ARC records, each record a gzip member of its own; returns their folder.
 
     Null html counts as empty, a null URL as "-". Of equal payloads of ``least``
     bytes or more that with the smallest id is a response, the others revisit
     it; rows that repeat whole are all responses. Equal payloads are found by
-    SHA-256 on (id, digest) alone, counted before they are shuffled; pages are
-    joined to the few ids that revisit. Files hold ``per_file`` records at most.
+    SHA-256 on (id, digest) alone, written once and counted before they are
+    shuffled; pages are read for that, and again to be joined to the few ids
+    that revisit. A file holds about ``per_file`` bytes, or one longer record.
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("row"), F.coalesce(F.col(url_col).cast("string"), F.lit("-")).alias("url"), F.encode(F.coalesce(F.col(html_col).cast("string"), F.lit("")), "UTF-8").alias("payload"))
-    rows = rows.withColumn("digest", F.sha2("payload", 256))
-    long = rows.where(F.octet_length("payload") >= least).select("row", "digest")
+    rows = rows.withColumn("digest", F.unhex(F.sha2("payload", 256)))
+    long = written(rows.where(F.octet_length("payload") >= least).select("row", "digest"), "payload-digests")
     first = long.groupBy("digest").agg(F.min("row").alias("first"), F.max("row").alias("last")).where("first < last").select("digest", "first")
     again = written(long.join(first, "digest").where("row <> first").distinct(), "revisits")
     both = rows.join(again, ["row", "digest"], "left").select("row", "url", "payload", "first")
 
-    def start():
-        def run(batch):
-            out = []
-            for row, url, payload, to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                version = 1 + (row or 0) % 2
-                (fields, block), *_ = arc_records(arc_file_header(version) + arc_record(version, url, payload))
-                out.append(warc_record(fields, block, row, to))
-            return pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
 
-        return run
+        def file() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], ["file"])
+
+        for batch in batches:
+            for row, url, payload, to in zip(*batch.columns, strict=True):
+                row, to = row.as_py(), to.as_py()
+                version = 1 + (row or 0) % 2
+                (fields, block), *_ = arc_records(arc_file_header(version) + arc_record(version, url.as_py(), payload.as_py()))
+                member = gzip.compress(warc_record(fields, block, row, to) + END, LEVEL, mtime=0)
+                if held and size + len(member) > per_file:
+                    yield file()
+                    held, size = [], 0
+                held.append(member)
+                size += len(member)
+        if held:
+            yield file()
 
     path = shared_dir(spark, "warc")
-    # the line separator is what closes a record, so that the files are plain WARC
-    map_arrow(both, start, "record binary").select(F.col("record").cast("string")).write.option("lineSep", END.decode()).option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    # a row is a file; the separator that the writer puts behind it is a gzip member without content
+    files = both.mapInArrow(run, "file binary").select(F.col("file").cast("string"))
+    files.write.option("lineSep", gzip.compress(b"", LEVEL, mtime=0).decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
+    dropped(long, again)
     return path
 
 
 def read_archives(spark, path: str) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record of the archives, digests of responses taken anew from their bytes. A file is a row: its size bounds a task."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of each record of the archives, digests of responses taken anew from their bytes. A file is a row, which archive() keeps small."""
 
     def start():
         def run(batch):
@@ -219,12 +238,17 @@ def read_archives(spark, path: str) -> DataFrame:
 
         return run
 
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "part-*").load(path)
     return map_arrow(files.select("content"), start, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive_digests(pages: DataFrame) -> DataFrame:
-    """read_archives of archive. An empty table gives no rows."""
+    """read_archives of archive.
+
+    Null html is an empty payload; rows with a null id are records with a null
+    page_id, and rows that repeat give a record each. An empty table gives no
+    rows. Other columns are not carried.
+    """
     return read_archives(pages.sparkSession, archive(pages))
 
 

@@ -51,8 +51,14 @@ def test_bpe_is_the_library(spark, tokenizer):
         decoded = tokenizer.decode(ids.tolist(), skip_special_tokens=False)
         assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()), t
     whole = bpe.encode_texts(docs_of(spark, texts), vocabulary())
+    assert {r["doc_id"]: bytes(r["ids"]) for r in whole.collect()} == {i: ids_of(tokenizer, t).tobytes() for i, t in enumerate(texts)}
     back = {r["doc_id"]: r["text"] for r in bpe.decode_ids(whole, vocabulary()).collect()}
-    assert back == {r["doc_id"]: r["decoded"] for r in whole.collect()}
+    assert back == {i: tokenizer.decode(ids_of(tokenizer, t).tolist(), skip_special_tokens=False) for i, t in enumerate(texts)}
+    rows = [(0, None), (1, b""), (2, np.array([1 << 31, 5, 10_000_000], "<u4").tobytes())]
+    assert [r["text"] for r in bpe.decode_ids(spark.createDataFrame(rows, "doc_id long, ids binary"), vocabulary()).orderBy("doc_id").collect()] == ["", "", tokenizer.decode([5], skip_special_tokens=False)]
+    nulls = spark.createDataFrame([(None, None, 1), (None, "a b", 2), (7, "a b", 3), (7, "a b", 3)], "doc_id long, text string, n_tokens int")
+    assert sorted((r["doc_id"] or -1, r["n_tokens"]) for r in bpe.bpe_digests(nulls, vocabulary()).collect()) == [(-1, 0), (-1, 2), (7, 2), (7, 2)]
+    assert bpe.bpe_digests(nulls.where("false"), vocabulary()).count() == 0
 
 
 def test_long_words_merge_alike():
@@ -167,6 +173,30 @@ def test_top_k(spark):
     assert topk.top_k(df.where("false"), lambda i: i % 20 == 0).count() == 0
 
 
+def plain_feature(payload):
+    def said(pcm):
+        signs = [x < 0 for x in pcm]
+        return f"{sum(x * x for x in pcm) // len(pcm)},{sum(a != b for a, b in zip(signs, signs[1:]))},{zlib.crc32(np.array(pcm, '<i2').tobytes()):08x}"
+
+    def twice(pcm):
+        return [y for a, b in zip(pcm, [*pcm[1:], pcm[-1]]) for y in (a, (a + b) >> 1)]
+
+    adpcm = []
+    for at in range(0, len(payload), 192):
+        block = payload[at : at + 192]
+        value, index = int.from_bytes(block[:2], "little", signed=True), min(88, block[2])
+        adpcm.append(value)
+        for byte in block[4:]:
+            for code in (byte & 15, byte >> 4):
+                step = media.STEPS[index]
+                move = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+                value = max(-32768, min(32767, value - move if code & 8 else value + move))
+                index = max(0, min(88, index + [-1, -1, -1, -1, 2, 4, 6, 8][code & 7]))
+                adpcm.append(value)
+    by_table = [twice([int(t[x]) for x in payload]) for t in (media.mulaw_table(), media.alaw_table())]
+    return f"mulaw:{said(by_table[0])}|alaw:{said(by_table[1])}|adpcm:{said(adpcm)}"
+
+
 def test_media(spark):
     texts = HARD + ["x" * 192, "y" * 400_000, "y" * 3_000_000]
     rows = {r["doc_id"]: r for r in media.media_digests(docs_of(spark, texts)).collect()}
@@ -177,7 +207,17 @@ def test_media(spark):
         r = rows[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r["feature"] == plain_feature(payload)
     assert rows[0]["feature"] == rows[1]["feature"] and rows[9]["feature"] == rows[10]["feature"]
+    odd = spark.createDataFrame([(None, None, b"x"), (3, "a", b"y"), (3, "a", b"y")], "doc_id long, text string, pcm binary")
+    assert sorted((r["doc_id"] or -1, r["n_bytes"]) for r in media.media_digests(odd).collect()) == [(-1, 0), (3, 1), (3, 1)]
+    assert media.media_digests(odd.where("false")).count() == 0
+
+
+def test_long_rows_are_heard_as_short_ones(monkeypatch):
+    r = np.random.default_rng(2)
+    rows = [r.integers(0, 256, 192 * n, dtype=np.uint8).tobytes() for n in (1, 7, 30, 2, 3, 1, 50)]
+    assert len({tuple(map(str, media.heard_as_adpcm(rows, together))) for together in (1, 3, 8, 1000)}) == 1
 
 
 def test_companding_tables_and_adpcm():
@@ -413,7 +453,17 @@ def test_warc(spark):
     htmls = [long, long, "short", "short", None, "", "é\r\n\r\nWARC/1.1\r\n" * 30, "y" * 2_000_000, long, "<|\n" * 99]
     urls = ["http://a/ b", None, "", "http://c/\n"] + ["http://d"] * 6
     df = spark.createDataFrame([(i, u, h, "r") for i, (u, h) in enumerate(zip(urls, htmls))], "page_id long, url string, html string, first string")
-    path = warc.archive(df, per_file=3)
+    path = warc.archive(df.coalesce(1), per_file=1000)
+    files = spark.read.format("binaryFile").load(path).select("content").collect()
+    assert len(files) > 2
+    for f in files:  # every member but the last, which is empty, is one record
+        members, raw = [], bytes(f["content"])
+        while raw:
+            z = zlib.decompressobj(31)
+            members.append(z.decompress(raw))
+            raw = z.unused_data
+        assert members[-1] == b"" and all(len(list(warc.warc_records(iter([m])))) == 1 for m in members[:-1])
+        assert len(members) == 2 or len(f["content"]) <= 1000 + 20
     rows = {x["page_id"]: x for x in warc.read_archives(spark, path).collect()}
     assert sorted(rows) == list(range(len(htmls)))
     for i, h in enumerate(htmls):
@@ -421,6 +471,9 @@ def test_warc(spark):
         assert (rows[i]["payload_bytes"], rows[i]["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
     assert {i: x["refers_to"] for i, x in rows.items() if x["record_type"] == "revisit"} == {1: 0, 8: 0}
     assert warc.archive_digests(df.where("false")).count() == 0
+    odd = spark.createDataFrame([(None, None, None), (None, "u", long), (5, "u", long), (5, "u", long), (4, "v", "z" * 99)], "page_id long, url string, html string")
+    got = sorted((r["page_id"] or -1, r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archive_digests(odd).collect())
+    assert got == [(-1, 0, "response", None), (-1, 100, "response", None), (4, 99, "response", None), (5, 100, "response", None), (5, 100, "response", None)]
 
 
 def test_arc_versions_and_errors(spark):
