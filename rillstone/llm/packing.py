@@ -2,11 +2,11 @@
 
 Documents of one length are interchangeable, so a corpus of any size is packed
 as a histogram of at most ``capacity`` lengths: the driver sees those counts and
-nothing else. Around the largest length left, the undominated fillings of the
-rest of a sequence are enumerated; the one of least waste is laid down as often
-as the counts allow. The last documents go to a branch-and-bound search that
-prunes by waste and starts from a best-fit solution. Workers then deal each
-piece its place by its rank within its length.
+nothing else. Best fit decreasing gives the incumbent, and a lower bound says
+whether it can be bettered. If so, the undominated fillings around the largest
+length left are enumerated; the one of least waste is laid down as often as the
+counts allow, and the last pieces go to a branch-and-bound search that prunes by
+waste. Workers then deal each piece its place by its rank within its length.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ from .common import map_arrow, written
 CAPACITY = 4096
 #: The id after each document.
 END = 1
-#: Fillings looked at around one document, documents of the last search, and its nodes.
-LOOKS, TAIL, NODES = 400, 48, 20_000
+#: Fillings looked at around one piece, pieces of the last search, and its nodes.
+LOOKS, TAIL, NODES = 400, 256, 40_000
 #: Words that a worker keeps, twice as many at most; beside others' tables in one worker, so fewer than alone.
 WORDS = 60_000
 #: New words that are encoded in one text.
@@ -76,13 +76,37 @@ def best_fit(counts: dict[int, int], capacity: int) -> Packing:
     return [(p, t) for groups in open_.values() for p, t in groups]
 
 
-def fillings(sizes: list[int], counts: dict[int, int], room: int, looks: int) -> Iterator[tuple[int, tuple[int, ...]]]:
-    """(waste, lengths) of fillings of ``room``, large lengths first, until one has no waste or ``looks`` are seen.
+def least_sequences(counts: dict[int, int], capacity: int) -> int:
+    """A number of sequences below which no packing of the counted lengths can go.
 
-    A filling is dominated, and left out, if one of its lengths could give way
-    to a larger one that is left and still fits.
+    For each length K up to half a sequence: pieces beyond half stand in
+    sequences of their own, and what those that leave K or more cannot take in of
+    the pieces from K up to half needs further ones.
     """
-    seen = 0
+    n = np.zeros(capacity + 2, np.int64)
+    for s, times in counts.items():
+        n[s] = times
+    size = np.arange(capacity + 2)
+    pieces, tokens = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(n * size)])
+    half = capacity // 2 + 1  # the first length of which two do not fit
+    k = np.arange(0, half)
+    alone = pieces[capacity + 1] - pieces[half]
+    open_ = pieces[capacity - k + 1] - pieces[half]
+    room = open_ * capacity - (tokens[capacity - k + 1] - tokens[half])
+    return int(np.max(alone + np.maximum(0, -(-(tokens[half] - tokens[k] - room) // capacity)), initial=0))
+
+
+def fillings(sizes: list[int], counts: dict[int, int], room: int, waste: int, looks: int = LOOKS) -> list[tuple[int, tuple[int, ...]]]:
+    """(waste, lengths) of the undominated fillings of ``room`` that leave at most ``waste`` of it, least waste first, then larger lengths first; the first ``looks`` that are met.
+
+    ``sizes`` are the lengths that are left, rising, ``counts`` how many of each.
+    A filling is dominated, and left out, if one of its lengths could give way to
+    a larger one that is left and still fits, or another could be added.
+    """
+    held = [0]
+    for s in sizes:
+        held.append(held[-1] + s * counts[s])
+    out, seen = [], 0
     stack: list[tuple[int, int, tuple[int, ...]]] = [(room, len(sizes), ())]
     while stack and seen < looks:
         left, end, chosen = stack.pop()
@@ -91,77 +115,111 @@ def fillings(sizes: list[int], counts: dict[int, int], room: int, looks: int) ->
             k -= 1
         if k < 0:
             seen += 1
-            if not any((j := bisect.bisect_right(sizes, x + left) - 1) >= 0 and sizes[j] > x and chosen.count(sizes[j]) < counts[sizes[j]] for x in set(chosen)):
-                yield left, chosen
-                if left == 0:
-                    return
+            if left <= waste and not any((j := bisect.bisect_right(sizes, x + left) - 1) >= 0 and sizes[j] > x and chosen.count(sizes[j]) < counts[sizes[j]] for x in {0, *chosen}):
+                out.append((left, chosen))
+                if left == 0 and len(chosen) == 1:
+                    break  # one piece that fills it is better than any others that do
             continue
-        if k > 0:  # without this length: smaller ones
+        if k > 0 and left - held[k] <= waste:  # without this length: smaller ones
             stack.append((left, k, chosen))
         stack.append((left - sizes[k], k + 1, (*chosen, sizes[k])))
+    return sorted(out, key=lambda f: (f[0], tuple(-x for x in f[1])))
 
 
-def complete(lengths: list[int], capacity: int, nodes: int = NODES) -> list[tuple[int, ...]]:
-    """As few sequences as the search finds for some lengths: bin completion from the best-fit incumbent."""
-    best = [p for p, t in best_fit(Counter(lengths), capacity) for _ in range(t)]
-    least = -(-sum(lengths) // capacity)
-    budget = nodes
-
-    def search(left: Counter, done: list[tuple[int, ...]], waste: int) -> None:
-        nonlocal best, budget
-        if not left:
-            if len(done) < len(best):
-                best = list(done)
-            return
-        budget -= 1
-        # waste so far and what must still be wasted leave no way below the incumbent
-        if budget <= 0 or waste > (len(best) - 1) * capacity - sum(lengths):
-            return
-        top = max(left)
-        left[top] -= 1
-        if not left[top]:
-            del left[top]
-        options = sorted(fillings(sorted(left), left, capacity - top, LOOKS)) or [(capacity - top, ())]
-        for over, chosen in options:
-            rest = left - Counter(chosen)
-            search(rest, [*done, (top, *chosen)], waste + over)
-            if budget <= 0 or len(best) <= least:
-                break
-        left[top] += 1
+def within(counts: dict[int, int], capacity: int, target: int, nodes: int, looks: int) -> list[tuple[int, ...]] | None:
+    """The counted lengths in ``target`` sequences, or None if none is found.
 
-    if len(best) > least:
-        search(Counter(lengths), [], 0)
+    Bin completion: the largest length left opens a sequence, whose undominated
+    fillings are the branches, and a branch ends where more is wasted than
+    ``target`` sequences have room for. Dives differ from the best branch at
+    ever more places, until all are seen or ``nodes`` are.
+    """
+    spare = target * capacity - sum(s * n for s, n in counts.items())
+    limit, whole = 0, False
+    while nodes > 0 and not whole and spare >= 0:
+        whole, path = True, []
+
+        def branches(left: dict[int, int], slack: int, top: int):
+            sizes = sorted(left)
+            return iter(enumerate(fillings(sizes, left, capacity - top, slack, looks)))
+
+        def opened(left: dict[int, int]) -> tuple[dict[int, int], int]:
+            top = max(left)
+            rest = dict(left)
+            rest[top] -= 1
+            if not rest[top]:
+                del rest[top]
+            return rest, top
+
+        rest, top = opened(counts)
+        stack = [(branches(rest, spare, top), rest, top, spare, limit)]
+        while stack:
+            tried, left, top, slack, turns = stack[-1]
+            k, branch = next(tried, (0, None))
+            if branch is None or k > turns or nodes <= 0:
+                whole = whole and branch is None
+                stack.pop()
+                del path[-1:]
+                continue
+            nodes -= 1
+            waste, chosen = branch
+            rest = dict(left)
+            for s in chosen:
+                rest[s] -= 1
+                if not rest[s]:
+                    del rest[s]
+            path.append((top, *chosen))
+            if not rest:
+                return path
+            rest, top = opened(rest)
+            stack.append((branches(rest, slack - waste, top), rest, top, slack - waste, turns - k))
+        limit = 2 * limit + 1
+    return None
+
+
+def complete(counts: dict[int, int], capacity: int, nodes: int = NODES, looks: int = LOOKS) -> Packing:
+    """As few sequences as the search finds for some lengths, from the best-fit incumbent down to least_sequences()."""
+    best = best_fit(counts, capacity)
+    for target in range(least_sequences(counts, capacity), sum(t for _, t in best)):
+        found = within(counts, capacity, target, nodes, looks)
+        if found is not None:
+            return [(p, 1) for p in found]
     return best
 
 
-def pack(counts: dict[int, int], capacity: int = CAPACITY, looks: int = LOOKS, tail: int = TAIL) -> Packing:
-    """(lengths of a sequence, how many such) that hold all the counted lengths, each between 1 and capacity."""
+def pack(counts: dict[int, int], capacity: int = CAPACITY, looks: int = LOOKS, tail: int = TAIL, nodes: int = NODES) -> Packing:
+    """(lengths of a sequence, how many such) that hold all the counted lengths, each between 1 and capacity.
+
+    The packing is the best-fit one if that meets least_sequences(), which proves
+    it; or else one whose fillings of least waste are laid down around the
+    largest length as often as the counts allow, until ``tail`` pieces are left,
+    which the search packs. What it is above least_sequences() is the gap that
+    is left unproven.
+    """
     left = {s: n for s, n in counts.items() if n > 0}
     if any(not 0 < s <= capacity for s in left):
         raise ValueError("a length is not between 1 and the capacity")
-    incumbent = best_fit(left, capacity)
-    least = -(-sum(s * n for s, n in left.items()) // capacity)
+    used = lambda packing: sum(t for _, t in packing)
+    incumbent, least = best_fit(left, capacity), least_sequences(left, capacity)
+    if used(incumbent) == least:
+        return incumbent
     sizes, total, out = sorted(left), sum(left.values()), []
     while sizes and total > tail:
         top = sizes[-1]
         left[top] -= 1  # the others of its length may fill its rest
-        if not left[top]:
-            sizes.pop()
-        waste, chosen = min(fillings(sizes, left, capacity - top, looks), default=(capacity - top, ()))
-        pattern = (top, *chosen)
+        rest = sizes if left[top] else sizes[:-1]
+        _, chosen = next(iter(fillings(rest, left, capacity - top, capacity, looks)), (0, ()))
         left[top] += 1
-        need = Counter(pattern)
-        times = min(left[s] // n for s, n in need.items())
-        out.append((pattern, times))
+        need = Counter((top, *chosen))
+        times = max(1, min(min(left[s] // n for s, n in need.items()), (total - tail) // (1 + len(chosen))))
+        out.append(((top, *chosen), times))
         for s, n in need.items():
             left[s] -= n * times
             total -= n * times
-            if not left[s]:
-                del left[s]
-        sizes = sorted(left) if top not in left or any(s not in left for s in need) else sizes
-    out += [(p, 1) for p in complete([s for s, n in left.items() for _ in range(n)], capacity)] if left else []
-    mine, theirs = sum(t for _, t in out), sum(t for _, t in incumbent)
-    return out if mine <= theirs or mine == least else incumbent
+        left = {s: n for s, n in left.items() if n}
+        sizes = sorted(left)
+    out += complete(left, capacity, nodes, looks) if left else []
+    return out if used(out) < used(incumbent) else incumbent
 
 
 class Words(WordBPE):
