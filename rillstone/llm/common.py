@@ -80,6 +80,10 @@ def written(df: DataFrame, name: str, codec: str = "zstd", by: str | None = None
     return out
 
 
+def written_path(table: DataFrame) -> str:
+    return PATHS[table]
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes what written() returned, once everything made of it is written itself."""
     for t in tables:
@@ -105,12 +109,12 @@ def map_arrow(df: DataFrame, start: Callable[[], Callable[[pa.RecordBatch], pa.R
 STRETCH = 1 << 22
 
 
-def stretches(texts: list[str]) -> Iterator[range]:
-    """The places of texts that have about STRETCH letters together; a longer one stands alone."""
+def stretches(texts: list, most: int = STRETCH) -> Iterator[range]:
+    """The places of texts that have about ``most`` letters together; a longer one stands alone."""
     first = 0
     while first < len(texts):
         last, size = first + 1, len(texts[first])
-        while last < len(texts) and size + len(texts[last]) <= STRETCH:
+        while last < len(texts) and size + len(texts[last]) <= most:
             size, last = size + len(texts[last]), last + 1
         yield range(first, last)
         first = last

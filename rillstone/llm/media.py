@@ -17,13 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_arrow, written
+from .common import dropped, map_arrow, removed, shared_dir, written, written_path
 
 PCM, ALAW, MULAW, ADPCM = 1, 6, 7, 17
 RATE, RESAMPLED = 8000, 16000
 BLOCK = 192
-#: How hard stored samples are packed.
-LEVEL = 13
+#: How hard stored PCM is packed, and the parts that media are turned into PCM by.
+LEVEL, SLICES = 9, 4
 
 # The step sizes and index changes of IMA ADPCM.
 STEPS = [
@@ -265,11 +265,17 @@ def media_features(stored: DataFrame) -> DataFrame:
 def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """media_features of stored_pcm of payload_media, each written to the shared folder and read back by the next.
 
+    Media are written in SLICES parts by task; each goes when its PCM is written,
+    so that the two hardly ever take up room at once.
     Null and empty texts are one block of blanks; rows that repeat, and rows with
     a null id, give a row each; equal texts give equal values. Empty tables give
     no rows. Other columns are not carried.
     """
-    media = written(payload_media(docs, id_col, text_col), "media", level=LEVEL)
-    stored = written(stored_pcm(media), "pcm", level=LEVEL)
+    media = written(payload_media(docs, id_col, text_col).withColumn("slice", F.pmod(F.spark_partition_id(), F.lit(SLICES))), "media", by="slice")
+    spark, path = media.sparkSession, shared_dir(media.sparkSession, "pcm")
+    for k in range(SLICES):
+        stored = stored_pcm(media.where(F.col("slice") == k).drop("slice"))
+        stored.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", LEVEL).parquet(f"{path}/slice={k}")
+        removed(spark, f"{written_path(media)}/slice={k}")
     dropped(media)
-    return media_features(stored)
+    return media_features(spark.read.schema(stored.schema).parquet(path).drop("slice"))
