@@ -127,15 +127,21 @@ def cut_words(texts: list[str], others: str) -> tuple[pa.Array, np.ndarray]:
     return cut.flatten(), np.diff(cut.offsets.to_numpy()).astype(np.int64)
 
 
-def number_words(words: pa.Array, counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+def numbered(words: pa.Array, counts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(different words, the number of the word at each place, each text's end there); empty words are left out."""
     table = words.dictionary_encode()
-    listed, number, ends = table.dictionary.to_pylist(), table.indices.to_numpy(), np.cumsum(counts)
-    if "" in listed:
-        real = number != listed.index("")
+    number, ends, empty = table.indices.to_numpy(), np.cumsum(counts), pc.index(table.dictionary, "").as_py()
+    if empty >= 0:
+        real = number != empty
         ends = np.concatenate([[0], np.cumsum(real)])[ends]
         number = number[real]
-    return listed, number, ends
+    return table.dictionary, number, ends
+
+
+def number_words(words: pa.Array, counts: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """numbered(), the different words as a list."""
+    listed, number, ends = numbered(words, counts)
+    return listed.to_pylist(), number, ends
 
 
 def components(edges: DataFrame, name: str = "components", rounds: int = 40) -> DataFrame:

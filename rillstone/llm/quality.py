@@ -1,43 +1,43 @@
 """Quality by importance resampling: hashed n-gram models of target and raw text, sampled by Gumbel top-k.
 
-Two generative models over hashed word n-grams are fitted on a bounded sample of
-labelled documents: the target's on those of good quality that are not toxic, the
-raw one on all of them. A document's log importance is the sum, over its
-different n-grams, of the log ratio of the two, drawn in towards zero by ``SHRINK``
-so that n-grams seen too seldom to tell, and the noise of common ones, weigh
-nothing, less what as many n-grams of a target document weigh on average. Its
-key is that weight plus Gumbel noise, and the k documents with the largest keys
-are a sample without replacement in proportion to the weights.
+Two generative models over hashed word n-grams are counted: the raw one on all
+documents, the target's on a bounded sample of labelled documents, those of good
+quality that are not toxic. A document's log importance is the sum, over its
+different n-grams, of the log ratio of the two, drawn in towards zero by ``SHRINK``,
+less what as many n-grams of a target document weigh on average. Without the
+first the sum is mostly the noise of common n-grams, and without the second long
+documents are told from short ones instead of good from bad; the README has the
+rates with and without either. A document's key is its log importance plus Gumbel
+noise, and the k documents with the largest keys are a sample without replacement
+in proportion to the importances.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Kept
-from .common import cut_words, map_arrow, number_words, stretches, written
+from .common import cut_words, dropped, numbered, small_batches, stretches, written
 
 #: Hashed n-grams; the fitted table has as many 4-byte entries at most.
 BUCKETS = 1 << 20
-#: Labelled documents that the models are fitted on, each whole, as every document is scored.
+#: Labelled documents that the target's model is fitted on, each whole, as every document is scored.
 FITTED = 40_000
 #: Added to the document counts of both models.
 PRIOR = 2.0
 #: Log ratios below this weigh nothing; the others are less by it.
 SHRINK = 1.25
-#: Weights are multiplied by it before the noise is added.
-SHARPNESS = 6.0
-#: k counts the documents whose log importance is above it.
-FLOOR = -3.0
 SEED = 7
 PREFIXES = (4, 5, 6, 7, 8)
 #: Tenths at which a share of a text makes a class of its own.
@@ -47,124 +47,181 @@ LEVELS = (4, 7)
 OTHERS = r"\pN+|[^\pL\pN\pZ\t-\r\x{85}]+"
 
 
-def known_word(word: str) -> tuple[bytes, bytes, bytes]:
-    """The hash of the lower-case word; with it those of its beginnings of PREFIXES letters, by which inflected forms are alike; its kind: upper-case, other letters, or signs."""
-    low = word.lower()
-    first = xxhash.xxh64_digest(low)
-    kind = b"s" if not word[0].isalpha() else b"u" if len(word) > 1 and word.isupper() else b"l"
-    return first, b"".join([first, *(xxhash.xxh64_digest(f"\0{low[:k]}") for k in PREFIXES if len(low) > k)]), kind
-
-
-#: Words met before, in each process.
-KNOWN = Kept(known_word, 60_000)
-
-
-def grams(texts: list[str]) -> Iterator[np.ndarray]:
-    """The different buckets of each text's features: lower-case words and their beginnings, runs of signs, pairs of neighbours, and the classes of shape()."""
-    for part in stretches(texts):
-        words, number, ends = number_words(*cut_words([texts[i] for i in part], OTHERS))
-        made = [KNOWN[w] if w else (b"\0" * 8, b"", b"s") for w in words]
-        first = np.frombuffer(b"".join([m[0] for m in made]), np.uint64)
-        flat = np.frombuffer(b"".join([m[1] for m in made]), np.uint64)
-        kinds = np.frombuffer(b"".join([m[2] for m in made]), np.uint8)
-        sizes = np.fromiter((len(m[1]) for m in made), np.int64, len(made)) // 8
-        starts = np.cumsum(sizes) - sizes
-        for a, b in zip([0, *ends.tolist()], ends.tolist()):
-            own = number[a:b]
-            different, counts = np.unique(own, return_counts=True)
-            size = sizes[different]
-            singles = flat[np.repeat(starts[different] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-            hashes = first[own]
-            pairs = hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + (hashes[1:] >> np.uint64(7))
-            pairs = np.unique(pairs ^ pairs >> np.uint64(31))
-            shapes = np.array([xxhash.xxh64_intdigest(g) for g in shape(own, counts, len(pairs), kinds[own].tobytes())], np.uint64)
-            yield np.unique(np.concatenate([singles, pairs, shapes]) % np.uint64(BUCKETS)).astype(np.int64)
-
-
-def shape(words: np.ndarray, counts: np.ndarray, pairs: int, kinds: bytes) -> list[str]:
-    """Classes that hold of a whole text: how much of it is capitals, signs, one token again and again, or repeated lines."""
-    n = len(words)
-    if not n:
-        return ["\0empty"]
-    parts = {
-        "upper": kinds.count(b"u") / max(1, n - kinds.count(b"s")),
-        "signs": kinds.count(b"s") / n,
-        "most": counts.max() / n,
-        "same": np.count_nonzero(words[1:] == words[:-1]) / n,
-        "again": 1 - len(counts) / n,
-        "pairs": 1 - pairs / n,
-    }
-    # an extreme text bears the lower classes too
-    return [f"\0{name}{k}" for name, x in parts.items() for k in LEVELS if 10 * x >= k] + [f"\0size{n.bit_length()}"]
-
-
-def labelled(docs: DataFrame, labels: DataFrame, most: int = FITTED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """text, target of at most about ``most`` labelled documents, chosen by a hash of the id; an id with several labels is target only if all of them agree."""
-    of = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("target"))
+#: Letters of text that are worked on at once.
+PART = 1 << 20
+#: An odd number, whose powers weigh the bytes of a word.
+BASE = 0x9E3779B97F4A7C15
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the different keys, rising, how often each stands there); by sorting, which is faster here than a table."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    return keys[at], np.diff(at, append=len(keys))
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ h >> np.uint64(32)
+
+
+def word_hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, whether they count): a row for each lower-case word, its own hash first, then those of its beginnings of PREFIXES letters, by which inflected forms are alike, where it is longer."""
+    low = pc.utf8_lower(words)
+    letters = pc.utf8_length(low).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.binary_length(low).to_numpy(zero_copy_only=False), dtype=np.int64)
+    raw = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(low)], pa.int32()), low), "")[0].as_buffer(), np.uint8) if len(low) else np.zeros(0, np.uint8)
+    power = lambda p: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(raw), p, np.uint64)]), dtype=np.uint64)
+    # a sum over a word's bytes, each by a power of BASE, from running sums, moved to the word's start
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * power(BASE)[:-1], dtype=np.uint64)])
+    starts = np.concatenate([[0], ends])[: len(ends)]
+    moved = power(pow(BASE, -1, 1 << 64))[starts]
+    hashes, counts = [mixed((sums[ends] - sums[starts]) * moved)], [letters > 0]
+    for k in PREFIXES:
+        stop = starts + pc.binary_length(pc.utf8_slice_codeunits(low, 0, k)).to_numpy(zero_copy_only=False)
+        hashes.append(mixed((sums[stop] - sums[starts]) * moved + np.uint64(k)))
+        counts.append(letters > k)
+    return np.stack(hashes, axis=1), np.stack(counts, axis=1)
+
+
+def class_bucket(name: str) -> int:
+    return xxhash.xxh64_intdigest(f"\0{name}") % BUCKETS
+
+
+@functools.cache
+def class_buckets() -> tuple[int, np.ndarray, np.ndarray]:
+    """The buckets of a text without words, of each share at each of LEVELS, and of each size by its bit length."""
+    shares = [[class_bucket(f"{name}{k}") for k in LEVELS] for name in ("upper", "signs", "most", "same", "again", "pairs")]
+    return class_bucket("empty"), np.array(shares, np.int64), np.array([class_bucket(f"size{k}") for k in range(64)], np.int64)
+
+
+def part_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(text's number << 20 | bucket, rising) of the different features of texts, all at once: lower-case words and their beginnings, runs of signs, pairs of neighbours, and classes of the whole text."""
+    words, number, ends = numbered(*cut_words(texts, OTHERS))
+    hashes, real = word_hashes(words)
+    signs_of = ~pc.utf8_is_alpha(pc.utf8_slice_codeunits(words, 0, 1)).to_numpy(zero_copy_only=False)
+    upper_of = pc.utf8_is_upper(words).to_numpy(zero_copy_only=False) & (pc.utf8_length(words).to_numpy(zero_copy_only=False) > 1) & ~signs_of
+    n = np.diff(ends, prepend=0)
+    text = np.repeat(np.arange(len(texts)), n)
+    number = number.astype(np.int64)
+    many = lambda of, mask: np.bincount(of[mask], minlength=len(texts))
+    # different words of each text, and how often each stands there
+    own, counts = distinct(text * len(words) + number)
+    own_text, own_word = own // max(1, len(words)), own % max(1, len(words))
+    singles = ((hashes % np.uint64(BUCKETS)).astype(np.int64)[own_word] | own_text[:, None] << 20)[real[own_word]]
+    near, first = text[1:] == text[:-1], hashes[number, 0]
+    pairs = mixed(first[:-1][near] * np.uint64(3) + first[1:][near])
+    pairs, _ = distinct((pairs % np.uint64(BUCKETS)).astype(np.int64) | text[:-1][near] << 20)
+    # what holds of whole texts: how much of each is capitals, signs, one token, tokens twice, words that were there before, or pairs that were
+    most = np.zeros(len(texts), np.int64)
+    np.maximum.at(most, own_text, counts)
+    signs, whole = many(text, signs_of[number]), np.maximum(1, n)
+    parts = (
+        many(text, upper_of[number]) / np.maximum(1, n - signs),
+        signs / whole,
+        most / whole,
+        many(text[1:], (number[1:] == number[:-1]) & near) / whole,
+        1 - np.bincount(own_text, minlength=len(texts)) / whole,
+        1 - np.bincount(pairs >> 20, minlength=len(texts)) / whole,
+    )
+    empty, shares, lengths = class_buckets()
+    at = np.arange(len(texts))
+    classes = [np.where(n > 0, lengths[np.frexp(n.astype(float))[1]], empty) | at << 20]
+    for x, buckets in zip(parts, shares, strict=True):
+        for level, bucket in zip(LEVELS, buckets, strict=True):  # an extreme text bears the lower classes too
+            classes.append(bucket | at[(10 * x >= level) & (n > 0)] << 20)
+    return distinct(np.concatenate([singles, pairs, *classes]))[0]
+
+
+def grams(texts: list[str]) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
+    """(places of some texts, the number of one of them for each feature, its bucket), until all are through."""
+    for part in stretches(texts, PART):
+        found = part_grams(texts[part.start : part.stop])
+        yield part, found >> 20, found & (BUCKETS - 1)
+
+
+def labelled(labels: DataFrame, most: int = FITTED) -> DataFrame:
+    """doc_id, target of at most about ``most`` labelled ids, chosen by a hash of the id; an id with several labels is target only if all of them agree. Rows with a null in any column tell nothing."""
+    of = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("target"))
     n = of.count()
-    if n > most:
-        of = of.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * most / n))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(of), "doc_id").select("text", "target")  # about ``most`` short rows, whatever the input
+    return of if n <= most else of.where(F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) < int((1 << 30) * most / n))
 
 
-def counts_of(rows: DataFrame) -> DataFrame:
-    """bucket, target, raw: in how many documents of each kind each bucket stands; bucket -1 counts the documents."""
+#: In place of a bucket: the row that counts documents, and the one that counts labelled ones.
+DOCUMENTS, LABELLED = -1, -2
 
-    def start():
-        def run(batch):
-            raw, target = np.zeros(BUCKETS + 1, np.int64), np.zeros(BUCKETS + 1, np.int64)
-            for found, is_target in zip(grams(batch.column(0).to_pylist()), batch.column(1).to_pylist(), strict=True):
-                raw[found] += 1
-                raw[-1] += 1
-                if is_target:
-                    target[found] += 1
-                    target[-1] += 1
-            some = np.flatnonzero(raw)
-            return pa.RecordBatch.from_arrays([pa.array(np.where(some == BUCKETS, -1, some)), pa.array(target[some]), pa.array(raw[some])], ["bucket", "target", "raw"])
 
-        return run
+def counts_of(docs: DataFrame, of: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bucket, target, raw: in how many target documents and in how many documents at all each bucket stands; row DOCUMENTS counts the documents themselves, row LABELLED the labelled ones.
 
-    return map_arrow(rows, start, "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+    Each task counts into two arrays and sends its buckets on once.
+    """
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = whole.join(F.broadcast(of), "doc_id", "left").select("text", "target")  # about FITTED short rows, whatever the input
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, target, more = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64), np.zeros((2, 2), np.int64)
+        for batch in batches:
+            known = batch.column(1).is_valid().to_numpy(zero_copy_only=False)
+            good = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
+            more += [[good.sum(), len(good)], [good.sum(), known.sum()]]
+            for part, text, bucket in grams(batch.column(0).to_pylist()):
+                raw += np.bincount(bucket, minlength=BUCKETS)
+                target += np.bincount(bucket[good[part.start : part.stop][text]], minlength=BUCKETS)
+        some = np.flatnonzero(raw)
+        columns = np.concatenate([[DOCUMENTS, LABELLED], some]), np.concatenate([more[:, 0], target[some]]), np.concatenate([more[:, 1], raw[some]])
+        for at in range(0, len(some) + 2, 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in columns], ["bucket", "target", "raw"])
+
+    small_batches(docs.sparkSession)
+    return rows.mapInArrow(run, "bucket long, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
+
+
+class Model(NamedTuple):
+    """``buckets`` that weigh anything, BUCKETS of them at most, and their ``weights``; the ``mean`` weight that an n-gram of a target document has; the ``share`` of target documents among labelled ones, null without a target document."""
+
+    buckets: np.ndarray
+    weights: np.ndarray
+    mean: float
+    share: float | None
 
 
-def ratios(counts: DataFrame) -> tuple[dict[int, float], float]:
-    """bucket -> shrunken log ratio of the buckets that weigh anything, BUCKETS of them at most, and the mean weight that an n-gram of a target document has.
+def ratios(counts: DataFrame) -> Model:
+    """The shrunken log ratios of the two models.
 
     The mean is taken off for each n-gram of a text, so that a long target
     document is not expected to weigh less than a short one; each bucket counts
     as seen in one target document more, as it was chosen for having few.
     """
-    total = counts.where("bucket = -1").first()
-    if total is None or not total["target"]:
-        return {}, 0.0
-    share = total["target"] / total["raw"]
-    ratio = F.log(F.col("target") + PRIOR) - F.log(F.col("raw") * share + PRIOR)
+    total = {r["bucket"]: r for r in counts.where("bucket < 0").collect()}
+    if not total or not total[DOCUMENTS]["target"]:
+        return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, None)
+    scale = total[DOCUMENTS]["target"] / total[DOCUMENTS]["raw"]
+    ratio = F.log(F.col("target") + PRIOR) - F.log(F.col("raw") * scale + PRIOR)
     weight = F.signum(ratio) * (F.abs(ratio) - SHRINK)
     rows = counts.where("bucket >= 0").select("bucket", "target", F.when(F.abs(ratio) > SHRINK, weight).alias("weight"))
-    seen, weighed = rows.agg(F.sum("target"), F.sum((F.col("target") + 1) * F.col("weight"))).first()
-    model = {r["bucket"]: r["weight"] for r in rows.where("weight is not null").select("bucket", "weight").collect()}
-    return model, (weighed or 0.0) / max(1, seen)
+    # in whole numbers, so that the order of the sum does not tell
+    seen, weighed = rows.agg(F.sum("target"), F.sum(F.round((F.col("target") + 1) * F.col("weight") * 1e6).cast("long"))).first()
+    weights = rows.where("weight is not null").select("bucket", "weight").toArrow()
+    return Model(weights["bucket"].to_numpy(), weights["weight"].to_numpy(), (weighed or 0) / 1e6 / max(1, seen), total[LABELLED]["target"] / total[LABELLED]["raw"])
 
 
-def scored(docs: DataFrame, model: dict[int, float], mean: float = 0.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with ``log_weight`` (the log importance of the whole text) and ``gumbel`` (noise by id and text, the same in every run). Columns of docs of these names are replaced; only ids and texts go to Python, and only numbers come back."""
     dense = np.zeros(BUCKETS, np.float32)
-    for bucket, weight in model.items():
-        dense[bucket] = weight
-    sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(dense.tobytes()))
+    dense[model.buckets] = model.weights
+    sent, mean = docs.sparkSession.sparkContext.broadcast(zlib.compress(dense.tobytes())), model.mean
 
     @F.pandas_udf("log_weight double, gumbel double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        table = np.frombuffer(zlib.decompress(sent.value), np.float32)
+        table = np.frombuffer(zlib.decompress(sent.value), np.float32).astype(np.float64)
         for ids, texts in batches:
-            weights, noise = [], []
             listed = texts.tolist()
-            for row, text, found in zip(ids.tolist(), listed, grams(listed), strict=True):
-                weights.append(round(float(table[found].sum(dtype=np.float64)) - mean * len(found), 6))
-                u = (xxhash.xxh64_intdigest(struct.pack("<q", row) + text.encode(), SEED) + 0.5) / 2.0**64
-                noise.append(float(-np.log(-np.log(u))))
-            yield pd.DataFrame({"log_weight": weights, "gumbel": noise})
+            weights = [np.zeros(0)]
+            for part, text, bucket in grams(listed):
+                weights.append(np.bincount(text, table[bucket], len(part)) - mean * np.bincount(text, minlength=len(part)))
+            u = np.array([(xxhash.xxh64_intdigest(struct.pack("<q", row) + text.encode(), SEED) + 0.5) / 2.0**64 for row, text in zip(ids.tolist(), listed, strict=True)])
+            yield pd.DataFrame({"log_weight": np.round(np.concatenate(weights), 6), "gumbel": -np.log(-np.log(u))})
 
     keep = [c for c in docs.columns if c not in ("log_weight", "gumbel")]
     key, text = F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -200,16 +257,21 @@ def kth_key(keys: DataFrame, k: int, most: int = 100_000) -> float:
 def resampled(docs: DataFrame, labels: DataFrame, k: int | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """The k documents with the largest keys, with ``log_weight`` and ``key``, and the columns of docs named by ``keep``, all of them unless given, but those of these names.
 
-    k is, unless given, the number of documents whose log importance is above
-    FLOOR, those that the target explains about as well as the raw text does;
-    the noise then swaps only documents near the floor. Null texts
-    count as empty; they and repeated rows are scored like others. Equal keys at
+    k is, unless given, as many documents as the corpus is expected to hold of
+    the target: the share of target documents among the labelled ones, of all
+    documents. Null texts count as empty; they, rows with a null id and repeated
+    rows are scored like others, and an empty table gives no rows. Equal keys at
     the end are all kept. Without a target label nothing can be told apart, and
-    all documents stay. Texts are read twice, and scored rows are written once.
+    all documents stay unless k is given. Texts are read twice, and scored rows
+    are written once.
     """
-    model, mean = ratios(written(counts_of(labelled(docs, labels, FITTED, id_col, text_col)), "gram-counts"))
-    rows = scored(docs, model, mean, id_col, text_col).withColumn("key", F.col("log_weight") * SHARPNESS + F.col("gumbel")).drop("gumbel")
+    counts = written(counts_of(docs, labelled(labels), id_col, text_col), "gram-counts")
+    model = ratios(counts)
+    dropped(counts)
+    rows = scored(docs, model, id_col, text_col).withColumn("key", F.col("log_weight") + F.col("gumbel")).drop("gumbel")
     rows = written(rows.select(*keep, "log_weight", "key") if keep else rows, "scored")
     if k is None:
-        k = rows.where(F.col("log_weight") > FLOOR).count()
+        if model.share is None:
+            return rows
+        k = round(model.share * rows.count())
     return rows.where(F.col("key") >= kth_key(rows.select("key"), k))

@@ -1,11 +1,15 @@
 """The pipeline's stages against plain versions, near copies by brute force, and the classifier on labels it has not seen."""
 
 import collections
+import math
 import os
 import random
+import struct
 
 import numpy as np
 import pytest
+import regex
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -226,10 +230,80 @@ def test_run(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
 
 
+def plain_grams(text):
+    """The buckets of one text by the definition: words one by one."""
+    spaced = regex.sub(r"\p{N}+|[^\p{L}\p{N}\p{Z}\t-\r\x85]+", r" \g<0> ", text)
+    words = spaced.split()
+    mask = (1 << 64) - 1
+
+    def mixed(h):
+        h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & mask
+        return h ^ h >> 32
+
+    def hashed(w, tag=0):
+        return mixed(sum((b + 1) * pow(quality.BASE, i, 1 << 64) for i, b in enumerate(w.encode())) + tag & mask)
+
+    n = quality.BUCKETS
+    low = [w.lower() for w in words]
+    out = {hashed(w) % n for w in low} | {hashed(w[:k], k) % n for w in low for k in quality.PREFIXES if len(w) > k}
+    pairs = {mixed(hashed(a) * 3 + hashed(b) & mask) % n for a, b in zip(low, low[1:])}
+    if not words:
+        return {quality.class_bucket("empty")}
+    signs = sum(not w[0].isalpha() for w in words)
+    parts = {
+        "upper": sum(w[0].isalpha() and len(w) > 1 and w.isupper() for w in words) / max(1, len(words) - signs),
+        "signs": signs / len(words),
+        "most": max(collections.Counter(words).values()) / len(words),
+        "same": sum(a == b for a, b in zip(words, words[1:])) / len(words),
+        "again": 1 - len(set(words)) / len(words),
+        "pairs": 1 - len(pairs) / len(words),
+    }
+    classes = {quality.class_bucket(f"{name}{k}") for name, x in parts.items() for k in quality.LEVELS if 10 * x >= k}
+    return out | pairs | classes | {quality.class_bucket(f"size{len(words).bit_length()}")}
+
+
+def test_quality_is_the_plain_one(spark):
+    r = random.Random(11)
+    good, bad = [f"fine{i} Word{i}" for i in range(60)], [f"BAD{i} !!" for i in range(30)] + ["éß", "日本"]
+    texts = [" ".join(r.choice(good if i % 4 else good + bad * 3) for _ in range(r.randint(0, 60))) for i in range(300)] + [None, "", " \n", "x" * 30_000, "a\n" * 5000, "Same text", "Same text"]
+    docs = [(i, t, "w", 1.0) for i, t in enumerate(texts)] + [(None, "no id", "w", 1.0), (5, texts[5], "w", 1.0)]
+    labels = [(i, int(i % 4 != 0), 0) for i in range(0, 200)] + [(8, None, 0), (None, 1, 0), (9, 0, 0), (10, 1, 1), (5000, 1, 0)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, key string, log_weight double").repartition(5)
+    lf = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    target = {}
+    for d, q, t in labels:
+        if None not in (d, q, t):
+            target[d] = target.get(d, True) and q == 1 and t == 0
+    found = [plain_grams(t or "") for _, t, _, _ in docs]
+    raw, of_target = collections.Counter(b for g in found for b in g), collections.Counter(b for g, d in zip(found, docs) if target.get(d[0]) for b in g)
+    counts = quality.counts_of(df, quality.labelled(lf))
+    got = {x["bucket"]: (x["target"], x["raw"]) for x in counts.collect()}
+    own = [d for d, *_ in docs if d in target]
+    n_target = sum(target[d] for d in own)
+    assert got == {b: (of_target[b], n) for b, n in raw.items()} | {-1: (n_target, len(docs)), -2: (n_target, len(own))}
+    ratio = {b: math.log(of_target[b] + 2) - math.log(n * n_target / len(docs) + 2) for b, n in raw.items()}
+    weight = {b: math.copysign(abs(x) - 1.25, x) for b, x in ratio.items() if abs(x) > 1.25}
+    assert len(weight) > 20
+    mean = sum((of_target[b] + 1) * w for b, w in weight.items()) / sum(of_target.values())
+    model = quality.ratios(counts)
+    assert dict(zip(model.buckets.tolist(), model.weights.tolist())) == pytest.approx(weight) and model.mean == pytest.approx(mean, abs=1e-5) and model.share == n_target / len(own)
+    keys = []
+    for (d, t, _, _), g in zip(docs, found):
+        u = (xxhash.xxh64_intdigest(struct.pack("<q", -1 if d is None else d) + (t or "").encode(), 7) + 0.5) / 2.0**64
+        keys.append((sum(weight.get(b, 0) for b in g) - mean * len(g), -math.log(-math.log(u)), d))
+    k = round(n_target / len(own) * len(docs))
+    kth = sorted((w + noise for w, noise, _ in keys), reverse=True)[k - 1]
+    kept = quality.resampled(df, lf).collect()
+    assert sorted((x["doc_id"] is not None, x["doc_id"] or 0) for x in kept) == sorted((d is not None, d or 0) for w, noise, d in keys if w + noise >= kth - 1e-6)
+    by_id = {d: (w, w + noise) for w, noise, d in keys}
+    assert all((x["log_weight"], x["key"]) == pytest.approx(by_id[x["doc_id"]], abs=1e-3) for x in kept)
+    # the noise decides: some that are kept weigh less than some that are not
+    assert min(x["log_weight"] for x in kept) < max(w for w, noise, d in keys if w + noise < kth - 1e-6)
+
+
 def test_quality_is_fitted_on_whole_texts(spark):
     text = " ".join(f"w{i % 50}" for i in range(10_000)) + " onlyattheend"
     assert len(text) > 20_000
-    rows = spark.createDataFrame([(text, False), ("short text", True)], "text string, target boolean")
-    got = {r["bucket"]: r["raw"] for r in quality.counts_of(rows).collect()}
-    want = [found.tolist() for found in quality.grams([text, "short text"])]
-    assert set(got) == {*want[0], *want[1], -1}
+    rows = spark.createDataFrame([(1, text), (2, "short text")], "doc_id long, text string")
+    got = {r["bucket"]: r["raw"] for r in quality.counts_of(rows, spark.createDataFrame([(2, True)], "doc_id long, target boolean")).collect()}
+    assert set(got) == {*plain_grams(text), *plain_grams("short text"), -1, -2}
