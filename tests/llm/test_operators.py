@@ -163,7 +163,7 @@ def test_bulk_of_many_pieces_is_laid_down_in_patterns():
     assert sum(t for _, t in found) <= sum(t for _, t in packing.best_fit(counts, 1000))
 
 
-@pytest.mark.parametrize("shape", ["random", "ties", "clusters"])
+@pytest.mark.parametrize("shape", ["random", "ties", "clusters", "large"])
 def test_threshold_algorithm(shape):
     r = np.random.default_rng(3)
     for _ in range(20):
@@ -171,36 +171,68 @@ def test_threshold_algorithm(shape):
         x = r.integers(-2, 3, (n, d)) if shape == "ties" else r.integers(-60, 60, (n, d))
         if shape == "clusters":
             x = x // 20 + 40 * r.integers(-1, 2, (n, 1))
+        if shape == "large":
+            x = np.where(r.random((n, d)) < 0.1, x * (1 << 24), x)
         q = x[r.integers(0, n, m)]
-        own = r.integers(-1, n, m)
-        score, place, _ = topk.threshold_topk(q, x, own, k, first=4)
-        for i in range(m):
-            all_ = sorted((-int(q[i] @ x[j]), j) for j in range(n) if j != own[i])[:k]
-            assert [(-int(s), int(p)) for s, p in zip(score[i], place[i]) if p >= 0] == all_
+        own = np.sort(r.integers(0, n + 1, (m, 2)), axis=1)
+        floor = r.integers(-3000, 3000, m)
+        for least in (None, floor):
+            score, place, _ = topk.threshold_topk(q, x, own, k, first=4, floor=least)
+            for i in range(m):
+                all_ = sorted((-sum(int(a) * int(b) for a, b in zip(q[i], x[j])), j) for j in range(n) if not own[i, 0] <= j < own[i, 1])[:k]
+                got = [(-int(s), int(p)) for s, p in zip(score[i], place[i]) if p >= 0]
+                if least is not None:  # what is below the floor may be left out
+                    all_, got = ([x for x in y if -x[0] >= floor[i]] for y in (all_, got))
+                assert got == all_
 
 
 def test_threshold_algorithm_stops_early():
     r = np.random.default_rng(4)
     x = r.integers(-5, 6, (20_000, 8))
     x[:30] *= 20
-    _, _, scored = topk.threshold_topk(x[:10], x, np.full(10, -1), 3)
+    own = np.zeros((10, 2), np.int64)
+    _, _, scored = topk.threshold_topk(x[:10], x, own, 3)
     assert scored < 10 * 20_000 / 3
+    best = np.sort(topk.products(x[:10], x), axis=1)[:, -3]
+    assert topk.threshold_topk(x[:10], x[30:], own, 3, floor=best)[2] == 0  # a block that cannot beat the floor is passed by
+
+
+def test_products_are_exact():
+    q = np.array([[1, 2, 3], [1 << 40, -5, 0], [(1 << 62) + 1, 0, 1], [-(1 << 63), 0, 0]])
+    x = np.array([[5, 6, 7], [1 << 21, 1 << 21, 0], [0, 1 << 55, -1], [0, 0, -(1 << 63)]])
+    want = [[sum(int(a) * int(b) for a, b in zip(y, z)) for z in x] for y in q]
+    for y, z in ((slice(0, 2), slice(0, 3)), (slice(0, 1), slice(0, 1)), (slice(1, 2), slice(2, 4)), (slice(2, 3), slice(2, 4)), (slice(3, 4), slice(2, 4))):
+        assert topk.products(q[y], x[z]).tolist() == [w[z] for w in want[y]]
+    with pytest.raises(OverflowError):
+        topk.products(q[2:3], x[:2])
+
+
+def plain_top_k(rows, k=20):
+    """{query id: [(vec_id, score)]} by the definition; rows that repeat are candidates each."""
+    whole = [(i, [math.floor(64 * c) for c in v]) for i, v in rows if i is not None and v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    out = {}
+    for i, q in whole:
+        if i % 20 == 0:
+            out[i] = [(j, -s) for s, j in sorted((-sum(a * b for a, b in zip(q, v)), j) for j, v in whole if j != i)[:k]]
+    return out
 
 
 def test_top_k(spark):
     r = random.Random(6)
     rows = [(i, [r.choice([-1.0, -0.3, 0.0, 0.3, 0.51]) for _ in range(4)], "a") for i in range(300)]
     rows += [(300 + i, [0.5, 0.5, 0.5, 0.5], "a") for i in range(100)] + [(1000, None, "a"), (1020, [None, 1.0, 1.0, 1.0], "a"), (1040, [float("nan")] * 4, "a"), (1060, [], "a"), (1080, [float("inf")] * 4, "a"), (None, [1.0] * 4, "a")]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
-    got = collections.defaultdict(list)
-    for x in topk.top_k(df, lambda i: i % 20 == 0, candidates=64, queries=8).orderBy("query_id", "rank").collect():
-        got[x["query_id"]].append((x["vec_id"], x["score"]))
-        assert x["rank"] == len(got[x["query_id"]])
-    whole = {i: [math.floor(64 * float(np.float32(c))) for c in v] for i, v, _ in rows[:400]}
-    assert set(got) == {i for i in whole if i % 20 == 0}
-    for i, found in got.items():
-        assert found == [(j, -s) for s, j in sorted((-sum(a * b for a, b in zip(whole[i], v)), j) for j, v in whole.items() if j != i)[:20]]
-    assert topk.top_k(df.where("false"), lambda i: i % 20 == 0).count() == 0
+    rows += [(1100, [1e7, 1.0], "a"), (1101, [2e7, 0.0], "a"), (1102, [3e7, 0.0], "a"), (1120, [0.25], "a"), (1140, [-1.0, 2.0, 3.0, 4.0, 5.0], "a"), (7, [1.0, 1.0, -1.0, 0.3], "a")]
+    rows += [(1160, [1.0, 0.0, 0.0, 0.0], "a")] * 3 + [(1161, [1.0, 0.0, 0.0, 0.0], "a")] * 30
+    for some, blocks in ((rows, 64), (rows, 1 << 14), (rows[300:400], 16), ([], 64), ([(0, [], "a"), (1, [], "a")], 64)):
+        df = spark.createDataFrame(some, "vec_id long, embedding array<double>, score string")
+        got = collections.defaultdict(list)
+        for x in topk.top_k(df, lambda i: i % 20 == 0, candidates=blocks, queries=8).orderBy("query_id", "rank").collect():
+            got[x["query_id"]].append((x["vec_id"], x["score"]))
+            assert x["rank"] == len(got[x["query_id"]])
+        assert dict(got) == {i: found for i, found in plain_top_k([x[:2] for x in some]).items() if found}
+    large = spark.createDataFrame([(0, [1e30])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(large, lambda i: i % 20 == 0).count()
 
 
 def plain_feature(payload):
