@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Kept
-from .common import components, map_arrow, written
+from .common import components, dropped, map_arrow, written
 
 SEED = 42
 # Fixed value: the generator polynomial of the binary Golay code of length 23.
@@ -141,7 +141,7 @@ def differ(a: Column, b: Column) -> Column:
 
 
 def links(prints: DataFrame, meet: int = MEET) -> DataFrame:
-    """a, b: links between different prints (one column, distinct) that join whatever differs in at most LINK = 2 bits.
+    """a, b: links between different prints (one column, distinct) that join whatever differs in at most LINK = 2 bits; written.
 
     Prints that meet on a key of up to ``meet`` are compared pair by pair.
     Prints on a fuller key are linked by the words between them: two differ in at
@@ -161,7 +161,9 @@ def links(prints: DataFrame, meet: int = MEET) -> DataFrame:
     words = many.select("print", F.explode(F.transform(near, lambda bit: F.col("print").bitwiseXOR(bit))).alias("word"))
     around = words.groupBy("word").agg(F.array_sort(F.collect_list("print")).alias("all")).where(F.size("all") > 1)
     between = around.select(F.col("all")[0].alias("a"), F.explode(F.slice("all", 2, 64)).alias("b"))
-    return pairs.union(between).distinct()
+    out = written(pairs.union(between).distinct(), "print-links")
+    dropped(keys, met)
+    return out
 
 
 def groups(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", meet: int = MEET) -> DataFrame:
@@ -201,6 +203,8 @@ MINIMA = 128
 BANDS, BAND = 24, 5
 #: Pairs of a bucket that are sent on at once.
 SENT = 1 << 16
+#: Nodes of a bucket, and their shingles, that are gone through at once; larger buckets are cut into blocks.
+BLOCK, GRAMS = 2048, 1 << 21
 
 
 def word_hash(word: bytes) -> int:
@@ -333,35 +337,79 @@ def bucket_edges(met: DataFrame, apart: int) -> DataFrame:
     return bucket_pairs(met.select("key", "node", "sketch"), pairs)
 
 
-def bucket_rest(met: DataFrame, apart: int) -> DataFrame:
-    """a, b: all pairs of a key's nodes that are in different groups and at most ``apart`` bits from each other. ``met`` has key, node, sketch, group."""
+def near_across(sets: list[np.ndarray], groups: np.ndarray, first: np.ndarray, second: np.ndarray, similarity: float, columns: int = 4096) -> list[tuple[int, int]]:
+    """Pairs (place in ``first``, place in ``second``) of sets in different groups whose Jaccard index is ``similarity`` or more, one at most between two groups.
 
-    def pairs(nodes, prints, groups):
-        words, groups = stacked(prints).view(np.uint64), np.array(groups)
-        for i in range(len(nodes) - 1):
-            others = np.flatnonzero(groups[i + 1 :] != groups[i]) + i + 1
-            for j in others[np.bitwise_count(words[others] ^ words[i]).sum(axis=1, dtype=np.int64) <= apart].tolist():
-                yield nodes[i], nodes[j]
+    Only elements that two of the sets hold can be shared; sets are rows of a
+    matrix over those, some columns at a time, and its product counts what each
+    two share.
+    """
+    sizes = np.array([len(x) for x in sets])
+    row = np.repeat(np.arange(len(sets)), sizes)
+    flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.int64)
+    different, column, often = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    row, column = row[shared], (np.cumsum(often > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(first), len(second)), np.float32)  # exact: no count reaches 2 ** 24
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [at, at + columns])
+        part = np.zeros((len(sets), columns), np.float32)
+        part[row[a:b], column[a:b] - at] = 1
+        both += part[first] @ part[second].T
+    either = sizes[first][:, None] + sizes[second][None, :] - both
+    i, j = np.nonzero((both >= similarity * either) & (groups[first][:, None] != groups[second][None, :]))
+    low, high = np.minimum(groups[first[i]], groups[second[j]]), np.maximum(groups[first[i]], groups[second[j]])
+    _, some = np.unique(np.stack([low, high], axis=1), axis=0, return_index=True)
+    return [(int(first[x]), int(second[y])) for x, y in zip(i[some], j[some])]
+
+
+def bucket_rest(rest: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that join the groups of each key's nodes: for any two of its nodes in different groups that are near, one between those groups. ``rest`` has key, node, group, grams (the sorted shingles).
+
+    A key's nodes are dealt into blocks, by their number and their shingles, and
+    each two blocks of a key are a task's work, so that no task holds a large
+    bucket; no pairs leave it but those that are near.
+    """
+    size = F.size("grams")
+    held = rest.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(size) / GRAMS)).cast("int").alias("blocks"))
+    dealt = rest.join(held, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tile = F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other"))
+    tiles = tiles.select(tile.alias("key"), "node", "group", (F.col("block") <= F.col("other")).alias("first"), (F.col("block") >= F.col("other")).alias("second"), "grams")
+
+    def pairs(nodes, groups, first, second, grams):
+        sets = [np.array(g, np.int64) for g in grams]
+        for i, j in near_across(sets, np.array(groups), np.flatnonzero(first), np.flatnonzero(second), similarity):
+            yield nodes[i], nodes[j]
 
-    return bucket_pairs(met.select("key", "node", "sketch", "group"), pairs)
+    return bucket_pairs(tiles, pairs)
 
 
-def verified(edges: DataFrame, whole: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """a, b, near of each of ``edges``: whether the Jaccard index of the sets of shingles of the two is ``similarity`` or more."""
-    ends = edges.select(F.col("a").alias("doc_id")).union(edges.select(F.col("b").alias("doc_id"))).distinct()
+def shingled(whole: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, grams: the different shingles of the texts of ``nodes`` (doc_id), rising, written."""
 
-    def shingled():
+    def start():
         def run(batch):
             sets = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
             return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "grams"])
 
         return run
 
-    grams = written(map_arrow(whole.join(ends, "doc_id"), shingled, "doc_id long, grams array<long>"), "grams").dropDuplicates(["doc_id"])
+    return written(map_arrow(whole.join(nodes, "doc_id"), start, "doc_id long, grams array<long>").dropDuplicates(["doc_id"]), "grams")
+
+
+def verified(edges: DataFrame, whole: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """a, b, near of each of ``edges``: whether the Jaccard index of the sets of shingles of the two is ``similarity`` or more."""
+    ends = edges.select(F.col("a").alias("doc_id")).union(edges.select(F.col("b").alias("doc_id"))).distinct()
+    grams = shingled(whole, ends, shingle)
     left, right = grams.toDF("a", "x"), grams.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
     either = F.size("x") + F.size("y") - both
-    return written(edges.join(left, "a").join(right, "b").select("a", "b", ((both >= similarity * either) | (either == 0)).alias("near")), "verified")
+    out = written(edges.join(left, "a").join(right, "b").select("a", "b", ((both >= similarity * either) | (either == 0)).alias("near")), "verified")
+    dropped(grams)
+    return out
 
 
 def near_groups(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -371,12 +419,14 @@ def near_groups(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHI
     ``shingle`` words is ``similarity`` or more; groups are the components.
     Texts of the same words are one node. Candidates meet on the keys of
     wide_keys, which hold few changed words, and of bands, which hold whatever
-    leaves the shingles alike, such as a block more or less; in each bucket, of any size, the nearest pairs that span it, by
-    the min-hashes of their shingles, are verified over whole texts. Where one
-    of a bucket's pairs fails, all pairs of the bucket that are then still in
-    different groups are verified too, so that no pair within APART that meets
-    is left out. The search is a sketch's: of pairs at 0.8 it misses less than
-    one in a thousand (tests measure it), and no pair below is taken.
+    leaves the shingles alike, such as a block more or less. In each bucket, or
+    in blocks of a larger one, the nearest pairs that span it, by the min-hashes
+    of their shingles, are verified over whole texts. Buckets of bands whose
+    nodes are then still in different groups, because a pair failed or as they
+    stood in different blocks, are gone through whole, block by block, so that no
+    pair that meets there is left out. The search is a sketch's: of pairs at 0.8
+    it misses less than one in a thousand (tests measure it), and no pair below
+    is taken.
     Null and empty texts are one group. An empty table gives no rows.
     """
 
@@ -407,21 +457,28 @@ def near_groups(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHI
 
     # sketches join their keys again only where a key has company
     keys = written(map_arrow(nodes.select("node", "wide", "bands"), keyed, "key long, node long"), "wide-keys")
-    full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    full = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(keys.join(full, "key"), "wide-meetings")
-    sketches = nodes.select("node", "sketch")
-    edges = verified(written(bucket_edges(met.join(sketches, "node"), APART), "wide-edges"), whole, similarity, shingle)
+    dropped(keys)
+    part = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
+    parts = met.withColumn("key", F.when(F.col("n") > BLOCK, part).otherwise(F.col("key")))
+    edges = verified(written(bucket_edges(parts.join(nodes.select("node", "sketch"), "node"), APART), "wide-edges"), whole, similarity, shingle)
     linked, failed = edges.where("near").select("a", "b"), edges.where("not near")
     found = components(linked, "near-components").withColumnRenamed("component", "group")
-    # a bucket whose pairs all hold has nothing left; in the others, nodes that are not joined yet meet one another
-    open_nodes = failed.select(F.col("a").alias("node")).union(failed.select(F.col("b").alias("node"))).distinct()
-    open_keys = met.join(open_nodes, "node", "left_semi").select("key").distinct()
-    rest = met.join(open_keys, "key", "left_semi").join(sketches, "node").join(found, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    more = written(bucket_rest(rest, APART).join(failed, ["a", "b"], "left_anti"), "wide-rest")
-    linked = linked.union(verified(more, whole, similarity, shingle).where("near").select("a", "b"))
+    # a bucket whose nodes are one group has nothing left
+    open_nodes = failed.select(F.col("a").alias("node")).union(failed.select(F.col("b").alias("node"))).distinct().withColumn("open", F.lit(1))
+    banded = met.where(F.col("key").bitwiseAND(F.lit(15)) == 15)
+    grouped = banded.join(found, "node", "left").join(open_nodes, "node", "left").withColumn("group", F.coalesce("group", "node"))
+    open_keys = grouped.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"), F.max("n").alias("n"), F.max("open").alias("open")).where((F.col("low") < F.col("high")) & ((F.col("n") > BLOCK) | F.col("open").isNotNull())).select("key")
+    rest = written(grouped.join(open_keys, "key", "left_semi").select("key", "node", "group"), "wide-rest")
+    grams = shingled(whole, rest.select(F.col("node").alias("doc_id")).distinct(), shingle)
+    more = written(bucket_rest(rest.join(grams.withColumnRenamed("doc_id", "node"), "node"), similarity), "wide-links")
+    linked = linked.union(more)
     found = components(linked, "near-components").withColumnRenamed("component", "group")
     heads = nodes.select("same", "node").join(found, "node", "left").select("same", F.coalesce("group", "node").alias("group"))
-    return rows.select("doc_id", "same").join(heads, "same").select("doc_id", "group")
+    out = written(rows.select("doc_id", "same").join(heads, "same").select("doc_id", "group"), "near-groups")
+    dropped(rows, nodes, met, edges, rest, grams, more)
+    return out
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -487,6 +487,9 @@ def test_simhash_groups(spark):
         assert [rows[i]["print"] % (1 << 64) for i in range(len(texts))] == prints
         assert [rows[i]["component_id"] for i in range(len(texts))] == [find(i) for i in range(len(texts))]
     assert simhash.group_digests(docs_of(spark, texts).where("false")).count() == 0
+    odd = spark.createDataFrame([(None, "a b c d", 1), (5, "a b c d", 2), (5, "A  b c d", 3), (None, "z", 4), (7, None, 5), (6, "", 6)], "doc_id long, text string, print int")
+    rows = [(x["doc_id"], x["component_id"]) for x in simhash.groups(odd).collect()]
+    assert sorted(rows, key=str) == sorted([(None, 5), (5, 5), (5, 5), (None, None), (7, 6), (6, 6)], key=str)
 
 
 def test_line_dedup(spark):
