@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rillstone.llm import linededup, packing, quality, secrets, simhash
-from rillstone.llm.common import written
+from rillstone.llm.common import dropped, written
 from rillstone.llm.queries import vocabulary
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -55,8 +55,20 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents, each result written as Parquet and read again."""
+    """The stages applied to documents, each result written as Parquet and read again; one is removed when the next is written.
+
+    Null texts count as empty in every stage and stay null between them. Rows
+    with a null id neither lose lines nor are anyone's copies, and are packed
+    like others. Of rows that share an id all stay or go together, but for the
+    quality stage, which looks at each. Ties of keys are all kept. Nulls in lang,
+    source and n_chars are carried; n_chars is counted anew where a text
+    changes, and other columns of documents are left behind. Empty tables give
+    no rows; without labels every document passes the quality stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        dropped(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
