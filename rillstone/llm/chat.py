@@ -55,8 +55,9 @@ def format_chats(rows: DataFrame, template: ChatTemplate = CHATML, conv_col: str
     order; a null turn comes first. Null roles and texts count as empty; rows
     with a null conversation make one conversation. ``error`` names the first
     step that the machine has no way for, or the end in a state that is not
-    final; a conversation that fails is formatted all the same. Other columns
-    are not carried. A conversation is one row: its length bounds a task's need.
+    final; a conversation that fails is formatted all the same. Empty texts are
+    empty segments, and an empty table gives no rows. Other columns are not
+    carried. A conversation is one row: its length bounds a task's need.
     """
     rows = rows.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chats = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
@@ -97,7 +98,7 @@ def read_chats(formatted: DataFrame, template: ChatTemplate = CHATML) -> DataFra
 
 
 def chat_digests(rows: DataFrame) -> DataFrame:
-    """The digests of read_chats over format_chats, written to the shared folder between the two."""
+    """The digests of read_chats over format_chats, written to the shared folder between the two; nulls, ties, repeated rows and empty tables are as there."""
     back = read_chats(written(format_chats(rows), "chats"))
     whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
