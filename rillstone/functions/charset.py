@@ -1,8 +1,9 @@
 """Charsets of text: encoding with replacements, decoding that never fails, conversion.
 
-Encoding is Column expressions. Decoding valid bytes is too; malformed UTF
-needs a state machine whose count of replacement letters no Spark function has,
-and runs as an Arrow function, for the rows that are malformed alone.
+Encoding is Column expressions. Decoding bytes that are known to be valid is too,
+and so is decoding ascii, latin1 and valid UTF-8. Malformed UTF needs a state
+machine whose count of replacement letters no Spark function has, and runs as an
+Arrow function; UTF-16 and UTF-32 of unknown validity go there whole.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ def known(charset: str) -> str:
 
 
 def swapped(b: Column) -> Column:
-    """Groups of four bytes in the other order."""
-    return F.unhex(F.regexp_replace(F.hex(b), "(..)(..)(..)(..)", "$4$3$2$1"))
+    """Groups of four bytes in the other order; as letters of Latin-1, which each are one byte."""
+    return F.encode(F.regexp_replace(F.decode(b, "ISO-8859-1"), "(?s)(.)(.)(.)(.)", "$4$3$2$1"), "ISO-8859-1")
 
 
 def encode(s: Column, charset: str = "utf8") -> Column:
@@ -136,6 +137,8 @@ def decode(b: Column, charset: str = "utf8") -> Column:
     name = known(charset)
     if name == "latin1":
         return F.decode(b, "ISO-8859-1")
+    if name == "ascii":
+        return F.regexp_replace(F.decode(b, "ISO-8859-1"), r"[\x80-\xFF]", BAD)
 
     @F.pandas_udf("string")
     def repaired(column: pd.Series) -> pd.Series:

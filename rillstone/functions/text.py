@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import charset as charsets
+
 WHITE = " \t\n\r\u000b\f"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
@@ -14,6 +16,11 @@ def lit(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
 
+def coded(data: bytes | Column, charset: str = "utf8") -> Column:
+    """The text of bytes in a charset, for any argument of these functions: a literal of the driver's bytes, or of a binary column."""
+    return charsets.decode(data, charset) if isinstance(data, Column) else F.lit(charsets.decoded(bytes(data), charset))
+
+
 def size(s: Column) -> Column:
     return F.length(s)
 

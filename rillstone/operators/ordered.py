@@ -16,10 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import number_text
-from ..plans.index import IDX, VALUE, ordering
+from ..plans.index import IDX, VALUE, descending, ordering
 from .stream import Stream, arity
 
 
+#: Values that a combined fold takes in one run.
+CHUNK = 10_000
+
+
 def value(df: DataFrame):
     """The single value of a one-row result; None if there is no row."""
     row = df.first()
@@ -107,19 +111,39 @@ class Unordered:
         hit = F.col("_pos") == F.pmod(F.lit(k).cast("long"), n)
         return self._agg(F.max_by(F.when(hit, F.col(VALUE)), F.when(hit, F.lit(1))), name, rows)
 
-    def find_maximum(self, key: Callable | None = None, name: str = "found") -> DataFrame:
-        """The value of the largest key, the first of equals."""
+    def find_maximum(self, key: Callable | None = None, name: str = "found", compare: Callable | None = None) -> DataFrame:
+        """The value of the largest key, or the largest by compare(a, b), see sort(); the first of equals. Null keys are passed over."""
+        if compare is not None:
+            return Ordered(self.s.by_comparison(lambda a, b: compare(b, a))).find_first(name)
+        df, k = self._apply(key)
+        return self._extreme(df, k, True, name)
+
+    def find_minimum(self, key: Callable | None = None, name: str = "found", compare: Callable | None = None) -> DataFrame:
+        if compare is not None:
+            return Ordered(self.s.by_comparison(compare)).find_first(name)
         df, k = self._apply(key)
-        return self._first_of(df, k, True, name)
+        return self._extreme(df, k, False, name)
+
+    def _extreme(self, df: DataFrame, k: Column, largest: bool, name: str) -> DataFrame:
+        """One aggregation with partial results: the least, or largest, of the key and the order after it."""
+        return self.s._per_key(df, self._extreme_of(df, k, largest).alias(name))
+
+    def _extreme_of(self, df: DataFrame, k: Column, largest: bool) -> Column:
+        kinds = dict(df.dtypes)
+        order = [descending(F.col(c), kinds[c]).alias(c) if largest else F.col(c) for c in self.s.order]
+        by = F.when(k.isNotNull(), F.struct(k.alias("_k"), *order))
+        return (F.max_by if largest else F.min_by)(F.struct(VALUE), by)[VALUE]
 
-    def find_minimum(self, key: Callable | None = None, name: str = "found") -> DataFrame:
+    def ends(self, key: Callable | None = None) -> DataFrame:
+        """first, last, smallest, largest: what find_first, find_last, find_minimum and find_maximum find, in one aggregation."""
         df, k = self._apply(key)
-        return self._first_of(df, k, False, name)
+        here = ordering(self.s.order)
+        return self.s._per_key(df, F.min_by(VALUE, here).alias("first"), F.max_by(VALUE, here).alias("last"), self._extreme_of(df, k, False).alias("smallest"), self._extreme_of(df, k, True).alias("largest"))
 
-    def _first_of(self, df: DataFrame, k: Column, largest: bool, name: str) -> DataFrame:
-        # the first row of each key, then the extreme key: ties need no descending struct
-        first = df.withColumn("_k", k).where("_k is not null").groupBy(*self.s.by, "_k").agg(F.min_by(VALUE, ordering(self.s.order)).alias(VALUE))
-        return self.s._per_key(first, (F.max_by if largest else F.min_by)(VALUE, "_k").alias(name))
+    def matches(self, **tests: tuple[str, Callable]) -> DataFrame:
+        """A column for each test, in one aggregation: name=("all" | "any" | "none", predicate of the value)."""
+        of = {"all": lambda p: F.coalesce(F.bool_and(p), F.lit(True)), "any": lambda p: F.coalesce(F.bool_or(p), F.lit(False)), "none": lambda p: ~F.coalesce(F.bool_or(p), F.lit(False))}
+        return self.s._per_key(self.s.df, *[of[kind](p(F.col(VALUE))).alias(name) for name, (kind, p) in tests.items()])
 
     # ---- sums
 
@@ -145,15 +169,25 @@ class Unordered:
 
     # ---- folds
 
-    def reduce(self, op: Callable, identity=None, finish: Callable | None = None, name: str = "reduced") -> DataFrame:
-        """A left fold in stream order with op(state, value); without an identity the first value begins, and an empty stream gives null."""
+    def reduce(self, op: Callable, identity=None, finish: Callable | None = None, name: str = "reduced", combine: Callable | None = None) -> DataFrame:
+        """A left fold in stream order with op(state, value); without an identity the first value begins, and an empty stream gives null.
+
+        The values of a stream, or of a key, stand in one row for it. With
+        combine(state, state) only CHUNK of them do: runs of so many are folded
+        wherever they are, each from the identity, and their states combined in order.
+        """
+        if combine is not None:
+            rows = self.s.positioned().withColumn("_chunk", F.floor(F.col("_pos") / CHUNK).cast("long"))
+            runs = Ordered(Stream(rows, self.s.order, by=(*self.s.by, "_chunk"))).reduce(op, identity, name=VALUE)
+            states = Ordered(Stream(runs.withColumnRenamed("_chunk", "_o0"), ["_o0"], by=self.s.by))
+            return states.reduce(combine, identity, finish, name)
         listed = self._listed()
-        end = finish or (lambda x: x)
+        fold, end = (lambda a, x: op(a, x)), finish or (lambda x: x)
         if identity is not None:
             start = identity if isinstance(identity, Column) else F.lit(identity)
-            out = F.reduce(listed, start, op, end)
+            out = F.reduce(listed, start, fold, end)
         else:
-            out = F.when(F.size(listed) > 0, F.reduce(F.slice(listed, 2, F.greatest(F.size(listed) - 1, F.lit(0))), listed[0], op, end))
+            out = F.when(F.size(listed) > 0, F.reduce(F.slice(listed, 2, F.greatest(F.size(listed) - 1, F.lit(0))), listed[0], fold, end))
         return self._agg(out, name)
 
     def collect(self, collector, name: str = "collected") -> DataFrame:

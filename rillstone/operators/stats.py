@@ -15,6 +15,12 @@ from .ordered import Ordered
 
 #: Values up to which a transform is made in one task; longer ones are cut into two rounds of short ones.
 ONE_TASK = 1 << 16
+#: Parameters that a descent on the driver may have.
+PARAMETERS = 100_000
+#: Rows of an unkeyed stream up to which one aggregation holds all value counts; beyond it, the rank is closed in on.
+COUNTED = 500_000
+#: Parts that a range of values is cut into at once.
+BINS = 1024
 
 
 def variance_of(v: Column) -> Column:
@@ -40,6 +46,27 @@ def percentile_of(v: Column, p: float) -> Column:
     return F.percentile(v, p / 100)
 
 
+def value_of_rank(rows: DataFrame, k: int, few: int = 100_000) -> float | None:
+    """The value of rank k, from 0, of a column ``v`` of doubles: the range that holds it is cut into BINS parts until few rows are left in one, which alone reach the driver."""
+    low, high = rows.agg(F.min("v"), F.max("v")).first()
+    if low is None:
+        return None
+    left = k
+    while low < high:
+        inside = rows.where((F.col("v") >= low) & (F.col("v") <= high))
+        width = high / BINS - low / BINS
+        part = F.least(F.greatest(F.floor((F.col("v") - low) / width), F.lit(0)), F.lit(BINS - 1)) if width > 0 else F.when(F.col("v") > low, 1).otherwise(0)
+        found = inside.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")).orderBy("part").collect()
+        for r in found:
+            if left < r["n"]:
+                break
+            left -= r["n"]
+        low, high = r["low"], r["high"]
+        if r["n"] <= few:
+            return sorted(x["v"] for x in rows.where((F.col("v") >= low) & (F.col("v") <= high)).collect())[left]
+    return low
+
+
 class Statistics(Ordered):
     """Numeric terminals. Each takes an optional function of the value; summary() makes all moments in one pass."""
 
@@ -60,10 +87,28 @@ class Statistics(Ordered):
         return self._stat(f, kurtosis_of, name)
 
     def median(self, f: Callable | None = None, name: str = "median") -> DataFrame:
-        return self._stat(f, lambda v: percentile_of(v, 50), name)
+        return self.percentile(50, f, name)
+
+    def quartiles(self, f: Callable | None = None) -> DataFrame:
+        """first_quartile, median, third_quartile, interquartile_range: one aggregation."""
+        df, v = self._apply(f)
+        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        names = ("first_quartile", "median", "third_quartile")
+        out = self.s._per_key(df, q.alias("_q"))
+        return out.select(*self.s.by, *[F.col("_q")[k].alias(x) for k, x in enumerate(names)], (F.col("_q")[2] - F.col("_q")[0]).alias("interquartile_range"))
 
     def percentile(self, p: float, f: Callable | None = None, name: str = "percentile") -> DataFrame:
-        return self._stat(f, lambda v: percentile_of(v, p), name)
+        """Exact, linear between ranks. A long stream without keys is read some times: its range of values is cut into BINS parts again and again around the rank, so that no task holds its values."""
+        if not 0 <= p <= 100:
+            raise ValueError("a percentile is between 0 and 100")
+        df, v = self._apply(f)
+        if self.s.by or df.count() <= COUNTED:
+            return self._stat(f, lambda v: percentile_of(v, p), name)
+        rows = df.select(v.cast("double").alias("v")).where("v is not null")
+        n = rows.count()
+        at = (n - 1) * p / 100
+        low, high = (value_of_rank(rows, k) for k in (math.floor(at), math.ceil(at)))
+        return df.sparkSession.range(1).select(F.lit(low + (high - low) * (at - math.floor(at)) if n else None).cast("double").alias(name))
 
     def first_quartile(self, f: Callable | None = None, name: str = "first_quartile") -> DataFrame:
         return self.percentile(25, f, name)
@@ -161,7 +206,9 @@ class Statistics(Ordered):
 
     def gradient(self, gradient: Callable | None = None, rate: float = 0.01, rounds: int = 1000, tolerance: float = 1e-6, cost: Callable | None = None, h: float = 1e-5) -> list[float]:
         """Gradient descent from the stream's values as parameters, which are few, on the driver. With ``cost``, the gradient is by central differences."""
-        p = np.array([r[VALUE] for r in self.s.df.orderBy(*self.s.order).select(VALUE).collect()], float)
+        p = np.array([r[VALUE] for r in self.s.df.orderBy(*self.s.order).select(VALUE).limit(PARAMETERS + 1).collect()], float)
+        if len(p) > PARAMETERS:
+            raise ValueError(f"gradient() takes a stream of {PARAMETERS} parameters at most")
 
         def central(x: np.ndarray) -> np.ndarray:
             step = np.eye(len(x)) * h

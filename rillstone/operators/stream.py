@@ -5,10 +5,11 @@ from __future__ import annotations
 import inspect
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.index import IDX, VALUE, Index, dense_index, ordering
+from ..plans.index import IDX, SMALL, VALUE, Index, dense_index, ordering
+from ..plans.index import descending as downwards
 
 
 def arity(f: Callable) -> int:
@@ -131,8 +132,13 @@ class Stream:
         """The elements of values that are arrays."""
         return self.flat_map(f or (lambda v: v))
 
-    def distinct(self, key: Callable | None = None) -> Stream:
-        """The first of equal values, or of values with equal keys, numbered anew; counted per task before the shuffle."""
+    def distinct(self, key: Callable | None = None, compare: Callable | None = None) -> Stream:
+        """The first of equal values, of values with equal keys, or of values between which compare(a, b) is 0, numbered anew; counted per task before the shuffle, but for a comparison, which see in sort()."""
+        if compare is not None:
+            whole = self._compared(compare)
+            first = F.filter("_all", lambda x, i: (i == 0) | (compare(F.get("_all", F.greatest(i - 1, F.lit(0)))["_v"], x["_v"]) != 0))
+            out = whole.select(*self.by, F.explode(first).alias("_x")).select(*self.by, F.col("_x._i").alias("_o0"), F.col("_x._v").alias(VALUE))
+            return Stream(out, ["_o0"], Index(), self.by)
         k = (key or (lambda v: v))(F.col(VALUE))
         rows = self.df.drop(IDX).withColumn("_key", k)
         first = rows.groupBy(*self.by, "_key").agg(F.min_by(F.struct(*self.order, VALUE), ordering(self.order)).alias("_row"))
@@ -147,8 +153,12 @@ class Stream:
         return self._dense(self.df.orderBy(*self.order).limit(max(0, n)))
 
     def sub(self, start: int, end: int) -> Stream:
-        """Positions start up to end, which they keep as indices."""
-        return self._kept((F.col("_pos") >= start) & (F.col("_pos") < end))
+        """Positions start up to end, which they keep as indices. Only the first ``end`` rows are put in order, where those are few."""
+        if self.by or end > SMALL:
+            return self._kept((F.col("_pos") >= start) & (F.col("_pos") < end))
+        first = self.df.drop(IDX).orderBy(*self.order).limit(max(0, end))
+        rows = first.withColumn(IDX, (F.row_number().over(Window.orderBy(*self.order)) - 1).cast("long"))
+        return self._with(rows.where(F.col(IDX) >= start), Index(stored=True))
 
     def skip(self, n: int) -> Stream:
         """All but the first n; the rest keep their positions as indices."""
@@ -245,21 +255,39 @@ class Stream:
         rows = rows.select(*self.by, F.col("_norm").alias("_o0"), *[F.col(c).alias(x) for c, x in zip(self.order, names)], F.col("_norm").alias(IDX), VALUE)
         return Stream(rows, ["_o0", *names], Index(stored=True), self.by)
 
-    def sort(self, key: Callable | None = None, descending: bool = False):
-        """Ordered by value, or by key(value); equals keep their order. Numbered anew."""
+    def sort(self, key: Callable | None = None, descending: bool = False, compare: Callable | None = None):
+        """Ordered by value, by key(value), or by compare(a, b), a Column that is negative where a goes first; equals keep their order. Numbered anew.
+
+        A comparison says nothing of a value alone, so all values of the stream,
+        or of a key, stand in one row for it; a key has no such bound.
+        """
         from .ordered import Ordered
 
+        if compare is not None:
+            return Ordered(self.by_comparison(compare))
         k = (key or (lambda v: v))(F.col(VALUE))
-        if descending:
-            # an order is ascending throughout
-            kind = dict(self.df.select(k.alias("k")).dtypes)["k"]
-            if kind not in ("tinyint", "smallint", "int", "bigint", "float", "double") and not kind.startswith("decimal"):
-                raise ValueError("descending order needs a numeric key")
-            k = -k
+        if descending:  # an order is ascending throughout
+            k = downwards(k, dict(self.df.select(k.alias("k")).dtypes)["k"])
         names = [f"_p{j}" for j in range(len(self.order))]
         rows = self.df.select(*self.by, k.alias("_o0"), *[F.col(c).alias(x) for c, x in zip(self.order, names)], VALUE)
         return Ordered(Stream(rows, ["_o0", *names], Index(), self.by))
 
+    def by_comparison(self, compare: Callable) -> Stream:
+        """In the order of compare(a, b); equals keep theirs."""
+        out = self._compared(compare).select(*self.by, F.posexplode(F.transform("_all", lambda x: x["_v"])).alias("_o0", VALUE))
+        return Stream(out, ["_o0"], Index(), self.by)
+
+    def _compared(self, compare: Callable) -> DataFrame:
+        """A row, or one per key, whose ``_all`` holds the values, and their places before, in the order of compare(a, b)."""
+        rows = F.array_sort(F.collect_list(F.struct(*self.order, F.col(VALUE).alias("_v"))))
+        numbered = F.transform(rows, lambda x, i: F.struct(i.alias("_i"), x["_v"].alias("_v")))
+
+        def goes_first(a: Column, b: Column) -> Column:
+            c = compare(a["_v"], b["_v"]).cast("int")
+            return F.when(c == 0, F.when(a["_i"] < b["_i"], -1).otherwise(1)).otherwise(c)
+
+        return self._per_key(self.df, numbered.alias("_all")).withColumn("_all", F.array_sort("_all", goes_first))
+
     def to_window(self):
         from .windows import Windowed
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -27,7 +28,7 @@ class Windowed(Ordered):
             out = rows.withColumn("_win", last)
         else:
             out = rows.where((first <= last) & F.lit(size > 0)).withColumn("_win", F.explode(F.when(first <= last, F.sequence(first, last))))
-        return Windows(out.withColumn(IDX, pos - F.col("_win") * step).drop("_pos"), self.s.by)
+        return Windows(out.withColumn(IDX, pos - F.col("_win") * step).drop("_pos"), self.s.by, (rows, size, step))
 
     def tumble(self, size: int) -> Windows:
         return self.slide(size, size)
@@ -36,13 +37,25 @@ class Windowed(Ordered):
 class Windows:
     """Rows of windows: by columns, _win, _idx in the window, value."""
 
-    def __init__(self, df: DataFrame, by: tuple[str, ...]):
-        self.df, self.by = df, tuple(by)
+    def __init__(self, df: DataFrame, by: tuple[str, ...], cut: tuple[DataFrame, int, int]):
+        self.df, self.by, self.cut = df, tuple(by), cut
 
     def agg(self, *columns: Column) -> DataFrame:
         """Aggregates of ``value`` per window."""
         return self.df.groupBy(*self.by, "_win").agg(*columns)
 
+    def summary(self) -> DataFrame:
+        """count, sum, average, minimum, maximum per window. Rows are summed up once, in panes as long as the greatest common divisor of size and step; only panes are dealt to all their windows."""
+        rows, size, step = self.cut
+        pane = math.gcd(max(0, size), step)
+        at = F.col("_pane") * pane
+        panes = rows.groupBy(*self.by, F.floor(F.col("_pos") / pane).cast("long").alias("_pane")).agg(F.count(VALUE).alias("_n"), F.sum(VALUE).alias("_s"), F.min(VALUE).alias("_low"), F.max(VALUE).alias("_high"))
+        first = F.greatest(F.lit(0), F.ceil((at + pane - size) / step)).cast("long")
+        last = F.floor(at / step).cast("long")
+        dealt = panes.where((first <= last) & F.lit(size > 0)).withColumn("_win", F.explode(F.when(first <= last, F.sequence(first, last))))
+        out = dealt.groupBy(*self.by, "_win").agg(F.sum("_n").alias("count"), F.sum("_s").alias("sum"), F.min("_low").alias("minimum"), F.max("_high").alias("maximum"))
+        return out.select(*self.by, "_win", "count", "sum", (F.col("sum") / F.col("count")).alias("average"), "minimum", "maximum")
+
     def values(self, name: str = "values") -> DataFrame:
         """_win and its values in order."""
         return self.agg(F.transform(F.array_sort(F.collect_list(F.struct(IDX, VALUE))), lambda x: x[VALUE]).alias(name))

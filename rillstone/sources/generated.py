@@ -6,6 +6,7 @@ import math
 import random
 from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,59 +57,111 @@ def repeat(spark: SparkSession, value, n: int) -> Stream:
 
 
 class Unbounded:
-    """A rule for an endless stream. limit(n), sub and take_while bound it; nothing else can be run."""
+    """A rule for an endless stream, and the operators that follow it. limit(n), sub, take_while and find_first bound it; it cannot be run before.
 
-    def __init__(self, spark: SparkSession, make: Callable[[int], Stream]):
-        self.spark, self.make = spark, make
+    ``make(n)`` is the stream of the rule's first n values. Operators that keep
+    every value need no more of them than are asked for; with others the rule is
+    drawn on for twice as many until there are enough, ``most`` at most.
+    """
+
+    #: Operators that give one value for each.
+    EACH = ("map", "redirect", "peek", "observe")
+    #: Operators that may drop values, or make more of them; their first results follow from the first values.
+    SOME = ("filter", "flat_map", "flat", "distinct", "skip", "drop_while")
+
+    def __init__(self, spark: SparkSession, make: Callable[[int], Stream], steps: tuple = (), most: int = 1 << 30):
+        self.spark, self.make, self.steps, self.most = spark, make, steps, most
+
+    def __getattr__(self, name: str):
+        if name in self.EACH + self.SOME:
+            return lambda *a, **k: Unbounded(self.spark, self.make, (*self.steps, (name, a, k)), self.most)
+        if name.startswith("__"):
+            raise AttributeError(name)
+        raise ValueError(f"an endless stream must be bounded by limit, sub, take_while or find_first before {name}")
+
+    def _first(self, n: int) -> Stream:
+        out = self.make(n)
+        for name, a, k in self.steps:
+            out = getattr(out, name)(*a, **k)
+        return out
+
+    def _until(self, n: int, enough: Callable[[Stream], Stream | None]) -> Stream:
+        while n <= self.most:
+            out = enough(self._first(n))
+            if out is not None:
+                return out
+            n *= 2
+        raise ValueError(f"the first {self.most} values are not enough")
 
     def limit(self, n: int) -> Stream:
-        return self.make(max(0, n))
+        """The first n values of all operators so far."""
+        n = max(0, n)
+        if n == 0 or all(name in self.EACH for name, _, _ in self.steps):
+            return self._first(n).limit(n)
+        return self._until(max(16, n), lambda s: s.limit(n) if s.df.limit(n).count() >= n else None)
 
     def sub(self, start: int, end: int) -> Stream:
-        return self.make(max(0, end)).sub(start, end)
+        return self.limit(end).sub(start, end)
+
+    def take_while(self, p: Callable, first: int = 16) -> Stream:
+        """The values before the first that fails p."""
 
-    def take_while(self, p: Callable, first: int = 16, most: int = 1 << 30) -> Stream:
-        """The values before the first that fails p, made in steps of twice the length until one does."""
-        n = first
-        while n <= most:
-            s = self.make(n)
+        def enough(s: Stream) -> Stream | None:
             out = s.take_while(p)
-            if out.df.count() < n:
-                return out
-            n *= 2
-        raise ValueError(f"no value among the first {most} fails")
+            return out if out.df.count() < s.df.count() else None
+
+        return self._until(first, enough)
+
+    def find_first(self, name: str = "found"):
+        """The first value, as a DataFrame of one row."""
+        return self.limit(1).to_ordered().find_first(name)
+
+
+def infinite(spark: SparkSession) -> Unbounded:
+    """0, 1, 2, ... without an end."""
+    return Unbounded(spark, lambda n: counted(spark, n, lambda i: i))
 
-    def __getattr__(self, name: str):
-        if name.startswith("__"):
-            raise AttributeError(name)
-        raise ValueError(f"an endless stream must be bounded by limit, sub or take_while before {name}")
+
+#: Values of a chain that are made in one go.
+CHAIN = 512
 
 
 def iterate(spark: SparkSession, seed, f: Callable[[Column], Column], limit: int | None = None):
-    """seed, f(seed), f(f(seed)) ... by a recursive query; f takes and gives a Column. Endless without a limit."""
+    """seed, f(seed), f(f(seed)) ... where f takes and gives a Column. Endless without a limit.
+
+    The chain is followed once to every CHAIN-th value, which are rows then; each
+    row makes the values up to the next, wherever it is.
+    """
 
     def make(n: int) -> Stream:
-        start = spark.range(1).select(F.lit(seed).alias(VALUE))
-        if n <= 0:
-            return numbered(start.select(F.lit(0).cast("long").alias(IDX), VALUE).where(F.lit(False)))
-        kind = start.dtypes[0][1]
-        steps = F.sequence(F.lit(1), F.lit(n)) if n > 1 else F.array(F.lit(1))
-        # one value follows from another, so the chain is one fold; its length is the caller's bound
-        chain = F.reduce(F.slice(steps, 2, max(0, n - 1)), F.array(F.lit(seed).cast(kind)), lambda a, _: F.array_append(a, f(F.element_at(a, -1)).cast(kind)))
-        return numbered(spark.range(1).select(F.posexplode(chain).alias(IDX, VALUE)).select(F.col(IDX).cast("long").alias(IDX), VALUE))
+        kind = spark.range(1).select(F.lit(seed).alias(VALUE)).dtypes[0][1]
+        # no value beyond the n-th is worked out, as it may not exist
+        grown = lambda first, g, most, times: F.reduce(F.slice(F.sequence(F.lit(1), F.lit(max(1, most))), F.lit(1), times), F.array(first), lambda s, _: F.array_append(s, g(F.element_at(s, -1))))
+        leap = lambda v: F.reduce(F.sequence(F.lit(1), F.lit(CHAIN)), v, lambda x, _: f(x).cast(kind))
+        leaps = max(0, -(-n // CHAIN) - 1)
+        heads = spark.range(1).select(F.posexplode(grown(F.lit(seed).cast(kind), leap, leaps, F.lit(leaps))).alias("_head", "_v"))
+        rows = heads.repartition("_head") if leaps else heads
+        left = F.least(F.lit(CHAIN - 1), F.greatest(F.lit(0), F.lit(n - 1) - F.col("_head") * CHAIN)).cast("int")
+        rows = rows.select("_head", F.posexplode(grown(F.col("_v"), lambda v: f(v).cast(kind), CHAIN - 1, left)).alias("_at", VALUE))
+        return numbered(rows.select((F.col("_head").cast("long") * CHAIN + F.col("_at")).alias(IDX), VALUE).where(F.col(IDX) < n))
 
-    return make(limit) if limit is not None else Unbounded(spark, make)
+    return make(max(0, limit)) if limit is not None else Unbounded(spark, make)
 
 
 def generate(spark: SparkSession, supplier: Callable[[], Column] | Callable[[], object], limit: int | None = None):
-    """supplier() per element: a Column expression, or a Python function that is called on the executors once for each."""
+    """supplier() per element: a Column expression, or a Python function that is called on the executors once for each, by Arrow batches."""
 
     def make(n: int) -> Stream:
         made = supplier()
         if isinstance(made, Column):
             return counted(spark, n, lambda _: made)
         kind = spark.createDataFrame([(made,)], ["v"]).dtypes[0][1]
-        return counted(spark, n, lambda i: F.udf(lambda _: supplier(), kind).asNondeterministic()(i))
+
+        @F.pandas_udf(kind)
+        def supplied(i: pd.Series) -> pd.Series:
+            return pd.Series([supplier() for _ in range(len(i))])
+
+        return counted(spark, n, lambda i: supplied.asNondeterministic()(i))
 
     return make(limit) if limit is not None else Unbounded(spark, make)
 
@@ -118,7 +171,7 @@ def random_values(spark: SparkSession, low=None, high=None, count: int | None =
     if low is None:
         low, high = 0, (1 << 31) - 1
     low, high = min(low, high), max(low, high)
-    u = F.rand(seed) if seed is not None else F.rand()
+    u = F.rand(random.getrandbits(62) if seed is None else seed)  # a stream's values are the same whenever it is read
     whole = isinstance(low, int) and isinstance(high, int)
     value = F.least((F.lit(low) + F.floor(u * (high - low + 1))).cast("long"), F.lit(high)) if whole else F.lit(float(low)) + u * float(high - low)
 

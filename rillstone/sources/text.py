@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +46,17 @@ def code_points(spark: SparkSession, data: str | bytes, start: int = 0, end: int
     return exploded(spark, points_of(F.lit(whole[max(0, start) : len(whole) if end is None else max(0, end)])))
 
 
+def code_point_file(spark: SparkSession, path: str, charset: str = "utf8") -> Stream:
+    """One whole number per code point of files in a charset, one file after another."""
+    return text_file(spark, path, charset=charset).flat_map(points_of)
+
+
+def standard_input(spark: SparkSession, delimiter: str | None = "\n", charset: str = "utf8", stream=None) -> Stream:
+    """What the driver's standard input holds, whole, or its fields between a delimiter; a last field without content is none."""
+    whole = charsets.decoded((stream or sys.stdin.buffer).read(), charset)
+    return text(spark, whole, None) if delimiter is None else text(spark, whole.removesuffix(delimiter), delimiter)
+
+
 def file_rows(df, columns: list[str]) -> Stream:
     """Rows of a file source in file order: by path, then by place, which a scan numbers without a shuffle."""
     rows = df.withColumn("_o0", F.col("_metadata.file_path")).withColumn("_o1", F.col("_metadata.file_block_start")).withColumn("_o2", F.monotonically_increasing_id())
@@ -63,7 +76,7 @@ def records(spark: SparkSession, path: str, delimiter: str) -> Stream:
 def text_file(spark: SparkSession, path: str, delimiter: str | None = None, charset: str = "utf8") -> Stream:
     """Whole files, decoded, as values; or their fields between a delimiter."""
     if charsets.known(charset) == "utf8":
-        df = spark.read.option("wholetext", True).text(path)
+        df = spark.read.text(path, wholetext=True)
     else:
         df = spark.read.format("binaryFile").load(path)
         df = df.withColumn("value", charsets.decode(F.col("content"), charset))

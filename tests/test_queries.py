@@ -49,7 +49,7 @@ def test_entry(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["dft_all_vectors", "idft_all_vectors", "fft_all_padded", "ifft_all_padded"])
+@pytest.mark.parametrize("name", ["dft_vectors", "idft_vectors", "fft_padded", "ifft_padded"])
 def test_transforms_of_every_vector(spark, db, name):
     got = {r["vec_id"] for r in entry.queries()[name](spark, SF).select("vec_id").distinct().collect()}
     assert got == {r[0] for r in db.execute("SELECT vec_id FROM embeddings").fetchall()}
@@ -60,9 +60,9 @@ def test_whole_texts_are_reversed_and_cut_into_code_points(spark, tmp_path):
     listed = {1: long, 2: "", 3: "x"}
     spark.createDataFrame(list(listed.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
-    got = {r["doc_id"]: (r["back"], r["thrice"]) for r in entry.queries()["text_reverse_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: (r["back"], r["thrice"]) for r in entry.queries()["text_reverse"](spark, str(tmp_path)).collect()}
     assert got == {d: (sha(t[::-1]), sha(t * 3)) for d, t in listed.items()}
-    got = {r["doc_id"]: (r["n"], r["points"]) for r in entry.queries()["text_codepoints_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: (r["n"], r["points"]) for r in entry.queries()["text_codepoints"](spark, str(tmp_path)).collect()}
     assert got == {d: (len(t), sha(",".join(str(ord(c)) for c in t))) for d, t in listed.items()}
 
 
@@ -73,5 +73,5 @@ def test_split_of_empty_and_null_texts(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{path}/*.parquet')")
     want = {(1, 2, "two"), (2, 0, None), (3, 0, None), (4, 2, "")}
-    assert {tuple(r) for r in entry.queries()["text_split_all"](spark, str(tmp_path)).select("doc_id", "fields", "last").collect()} == want
-    assert set(con.execute(entry.oracle_sql()["text_split_all"]).fetchall()) == want
+    assert {tuple(r) for r in entry.queries()["text_split"](spark, str(tmp_path)).select("doc_id", "fields", "last").collect()} == want
+    assert set(con.execute(entry.oracle_sql()["text_split"]).fetchall()) == want

@@ -124,7 +124,33 @@ def test_sources(spark):
     assert all(3 <= x < 4 for x in got(sources.random_values(spark, 4.0, 3.0, 20)))
     assert 1 <= sources.randomly(3, 1) <= 3 and sources.randomly() in (True, False)
     with pytest.raises(ValueError):
-        sources.iterate(spark, 1, lambda v: v).map(lambda v: v)
+        sources.iterate(spark, 1, lambda v: v).map(lambda v: v).to_ordered()
+
+
+def test_endless_streams_chain(spark):
+    odd = sources.iterate(spark, F.lit(1).cast("long"), lambda v: v * 3 + 1).filter(lambda v: v % 2 == 1)
+    chain = [1]
+    while len(chain) < 20:
+        chain.append(chain[-1] * 3 + 1)
+    assert ordered(odd.limit(10)) == [v for v in chain if v % 2][:10]
+    assert ordered(odd.sub(2, 5)) == sorted([v for v in chain if v % 2][2:5], key=lambda v: ([v for v in chain if v % 2].index(v)) % 3)
+    assert ordered(sources.infinite(spark).flat_map(lambda v: F.array(v, -v)).skip(3).take_while(lambda v: v < 4)) != []
+    assert value(sources.infinite(spark).map(lambda v: v * 5).filter(lambda v: v > 17).find_first()) == 20
+    assert ordered(sources.infinite(spark).distinct(lambda v: F.floor(v / 10)).limit(3)) == [0, 10, 20]
+    made = sources.random_values(spark, 0, 99).filter(lambda v: v % 2 == 0).limit(50).to_ordered()
+    first = value(made.to_vector())
+    assert len(first) == 50 and all(v % 2 == 0 for v in first) and first == value(made.to_vector())
+    assert ordered(sources.infinite(spark).filter(lambda v: v > 3).limit(0)) == []
+    with pytest.raises(ValueError):
+        sources.generated.Unbounded(spark, lambda n: sources.from_range(spark, 0, n), most=100).filter(lambda v: v < 0).limit(1)
+
+
+def test_long_chains(spark):
+    want = [1]
+    while len(want) < 1300:
+        want.append((want[-1] * 31 + 7) % 10007)
+    for n in (1, 511, 512, 513, 1024, 1300):
+        assert ordered(sources.iterate(spark, 1, lambda v: (v * 31 + 7) % 10007, n)) == want[:n]
 
 
 def test_files(spark, tmp_path):
@@ -149,6 +175,14 @@ def test_many_tasks_number_like_one(spark):
     finally:
         plans.PER_TASK = per_task
     assert got == want and sorted(got.values()) == list(range(3000))
+    keyed = rows.withColumn("k", F.when(F.col("b") % 3 > 0, F.lit("hot")).when(F.col("b") % 2 > 0, F.col("a").cast("string")))
+    want = sorted((x["b"], x["_idx"]) for x in dense_index(keyed, ("a", "b"), ("k",)).collect())
+    per_task, plans.PER_TASK = plans.PER_TASK, 200
+    try:
+        many = dense_index(keyed, ("a", "b"), ("k",), small=10)
+        assert many.columns == [*keyed.columns, "_idx"] and sorted((x["b"], x["_idx"]) for x in many.collect()) == want
+    finally:
+        plans.PER_TASK = per_task
 
 
 def test_partitions_do_not_matter(spark):
@@ -203,6 +237,11 @@ def test_windows(spark):
     assert values(sources.from_range(spark, 0, 10).to_window().tumble(4)) == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
     assert values(seven.to_window().slide(2, 3)) == [[0, 1], [3, 4], [6]]
     assert values(six.to_window().slide(0, 1)) == []
+    for size, step in ((3, 2), (4, 2), (2, 3), (1, 1), (9, 3), (0, 2), (7, 7)):
+        w = seven.map(lambda v: v * v % 11).to_window().slide(size, step)
+        want = {r["_win"]: r["values"] for r in w.values().collect()}
+        got = {r["_win"]: (r["count"], r["sum"], r["average"], r["minimum"], r["maximum"]) for r in w.summary().collect()}
+        assert got == {k: (len(v), sum(v), sum(v) / len(v), min(v), max(v)) for k, v in want.items()}
     assert ordered(six.to_window().slide(3, 2).flat()) == [0, 1, 2, 2, 3, 4, 4, 5]
     with pytest.raises(ValueError):
         six.to_window().slide(2, 0)
@@ -215,6 +254,77 @@ def test_collectors(spark):
     until = Collector.shortable(int, lambda a, v: a > 4, lambda a, v: a + v, lambda a, b: a + b)
     assert sources.of(spark, 5, 6, 7).to_ordered().collect(until) == 5
     assert sources.empty(spark).to_ordered().collect(c) == ()
+    assert until.of([5, 6, 7]) == 5 and c.of(iter("ab")) == ((0, "a"), (1, "b"))
+
+
+def test_a_stop_holds_on_any_partitions(spark):
+    values = [3, 1, 2, 4, 5, 1, 1, 8, 9, 2, 7, 3]
+    until = Collector.shortable(int, lambda a, v: a >= 10, lambda a, v: a + v, lambda a, b: a + b)
+    turns = Collector.full(str, lambda a, v: f"({a}{v})")  # no combiner
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        for n in (1, 4, 20):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            s = sources.of(spark, *values).to_ordered()
+            assert s.collect(until) == 10
+            assert s.collect(turns) == turns.of(values)
+            assert sources.empty(spark).to_ordered().collect(until) == 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_comparisons(spark):
+    s = sources.of(spark, "bb", "a", "ccc", "aa", "b")
+    by_size = lambda a, b: F.length(a) - F.length(b)
+    assert value(s.sort(compare=by_size).to_vector()) == ["a", "b", "bb", "aa", "ccc"]
+    assert ordered(s.distinct(compare=by_size)) == ["bb", "a", "ccc"]
+    assert (value(s.to_ordered().find_maximum(compare=by_size)), value(s.to_ordered().find_minimum(compare=by_size))) == ("ccc", "a")
+    assert value(s.sort(descending=True).to_vector()) == ["ccc", "bb", "b", "aa", "a"]
+    least = -(1 << 63)
+    assert value(sources.of(spark, 5, least, (1 << 63) - 1).sort(descending=True).to_vector()) == [(1 << 63) - 1, 5, least]
+    many = spark.range(100).select("id", F.concat(F.lit("k"), F.col("id") % 7).alias("v"))
+    assert value(Stream.of(many, "id", "v").to_ordered().find_maximum(lambda v: v % 10)) == 49
+    o = Stream.of(many.where("id % 3 = 0"), F.col("id") * 10, ["v", "id"]).to_ordered()
+    assert o.ends(lambda v: v % 40).first()[2:] == (value(o.find_minimum(lambda v: v % 40)), value(o.find_maximum(lambda v: v % 40)))
+
+
+def test_combined_folds(spark, monkeypatch):
+    import rillstone.operators.ordered as terminals
+
+    monkeypatch.setattr(terminals, "CHUNK", 7)
+    s = sources.from_range(spark, 0, 100).to_ordered()
+    assert value(s.reduce(lambda a, x: a + x, F.lit(0).cast("long"), combine=lambda a, b: a + b)) == 4950
+    assert value(s.reduce(F.greatest, combine=F.greatest)) == 99
+    text = lambda v: v.cast("string")
+    joined = s.s.map(text).to_ordered().reduce(lambda a, x: F.concat(a, x), combine=lambda a, b: F.concat(a, b), finish=lambda a: F.concat(a, F.lit(".")))
+    assert value(joined) == "".join(map(str, range(100))) + "."
+    assert value(sources.empty(spark).to_ordered().reduce(lambda a, x: a + x, F.lit(0).cast("long"), combine=lambda a, b: a + b)) == 0
+
+
+def test_places_among_bounds(spark):
+    from rillstone.plans.index import place_among
+
+    for n in (1, 2, 3, 10, 50, 101):
+        bounds = [3 * k for k in range(n)]
+        got = [r["p"] for r in spark.range(-2, 3 * n + 2).select("id", place_among([F.lit(b).cast("long") for b in bounds], F.col("id")).alias("p")).orderBy("id").collect()]
+        assert got == [sum(b <= x for b in bounds) for x in range(-2, 3 * n + 2)]
+
+
+def test_ranks_are_closed_in_on(spark, monkeypatch):
+    import rillstone.operators.stats as stats
+
+    r = random.Random(3)
+    values = [r.choice([0.0, -5.5, 1e9, r.gauss(0, 1)]) for _ in range(3000)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for k in (0, 1, 700, 1500, 2999):
+        assert stats.value_of_rank(rows, k, few=20) == sorted(values)[k]
+    s = Stream.of(spark.createDataFrame(list(enumerate(values)), "i long, v double"), "v", "i").to_statistics()
+    want = [value(s.percentile(p)) for p in (0, 12.5, 50, 99.9, 100)]
+    monkeypatch.setattr(stats, "COUNTED", 10)
+    assert [value(s.percentile(p)) for p in (0, 12.5, 50, 99.9, 100)] == pytest.approx(want)
+    assert value(sources.empty(spark, "double").to_statistics().median()) is None
 
 
 def test_peek_and_foreach(spark, tmp_path):
