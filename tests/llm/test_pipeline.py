@@ -276,7 +276,7 @@ def test_stages(spark):
                 want = {d: texts[d] for d in set(group.values())}
             else:
                 want = {d: plain_redaction(t) for d, t in texts.items()}
-                assert sum(want[d] != texts[d] for d in want) > 10
+                assert any(want[d] != texts[d] for d in want)
             assert {d: r["text"] for d, r in rows.items()} == want, name
             assert all(len(r["text"]) == r["n_chars"] and (r["lang"], r["source"]) == (before[d]["lang"], before[d]["source"]) for d, r in rows.items())
         docs, before = spark.createDataFrame(list(rows.values()), DOCUMENTS), rows
