@@ -185,6 +185,9 @@ class Statistics(Ordered):
         n = rows.count()
         if n <= ONE_TASK:
             return rows.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(whole, fields)
+        size = 1 << (n - 1).bit_length() if padded else n
+        if size // shorter(size) > ONE_TASK:
+            return chirped_transform(rows, n, inverse)
         return long_transform(rows, n, padded, inverse)
 
     def dft(self) -> DataFrame:
@@ -227,17 +230,49 @@ class Statistics(Ordered):
         return p.tolist()
 
 
+def shorter(size: int) -> int:
+    """The largest divisor up to the root."""
+    return next(d for d in range(math.isqrt(size), 0, -1) if size % d == 0)
+
+
+def chirped_transform(rows: DataFrame, n: int, inverse: bool) -> DataFrame:
+    """The transform of a signal whose length has no even cut, by Bluestein's identity: 2 jk = j^2 + k^2 - (k - j)^2 makes it a convolution with a chirp, which three transforms of a power of two do."""
+    size = 1 << (2 * n - 2).bit_length()
+    sign = 1.0 if inverse else -1.0
+
+    def chirp(k: Column, turn: float) -> tuple[Column, Column]:
+        angle = (k * k % (2 * n)).cast("double") * (turn * math.pi / n)
+        return F.cos(angle), F.sin(angle)
+
+    def times(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+        return a[0] * b[0] - a[1] * b[1], a[0] * b[1] + a[1] * b[0]
+
+    def named(z: tuple[Column, Column], re: str, im: str) -> list[Column]:
+        return [z[0].alias(re), z[1].alias(im)]
+
+    pos = F.col("_pos")
+    signal = rows.select("_pos", *named(tuple(c * F.col("x") for c in chirp(pos, sign)), "x", "y"))
+    back = F.least(pos, size - pos)
+    ring = rows.sparkSession.range(size).select(F.col("id").alias("_pos")).where(back < n).select("_pos", *named(chirp(back, -sign), "x", "y"))
+    left, right = (long_transform(s, size, True, False).toDF("_pos", *names) for s, names in ((signal, ("ar", "ai")), (ring, ("br", "bi"))))
+    product = left.join(right, "_pos").select("_pos", *named(times((F.col("ar"), F.col("ai")), (F.col("br"), F.col("bi"))), "x", "y"))
+    folded = long_transform(product, size, True, True).where(F.col("k") < n)
+    out = times((F.col("re"), F.col("im")), chirp(F.col("k"), sign))
+    return folded.select("k", *named(tuple(c / n if inverse else c for c in out), "re", "im"))
+
+
 def long_transform(rows: DataFrame, n: int, padded: bool, inverse: bool) -> DataFrame:
-    """The transform of one long signal in two rounds of short ones: with P = A * B and position a + A * b, B-point transforms over b for each a, a turn of each bin, and A-point transforms over a for each bin. Groups hold A or B values."""
+    """The transform of one long signal, x or x + iy by _pos, in two rounds of short ones: with P = A * B and position a + A * b, B-point transforms over b for each a, a turn of each bin, and A-point transforms over a for each bin. Groups hold A or B values."""
     size = 1 << (n - 1).bit_length() if padded else n
-    a = next(d for d in range(math.isqrt(size), 0, -1) if size % d == 0)
+    a = shorter(size)
     b, sign = size // a, 1 if inverse else -1
     turn = np.fft.ifft if inverse else np.fft.fft
+    rows = rows if "y" in rows.columns else rows.withColumn("y", F.lit(0.0))
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.zeros(b)
+        x = np.zeros(b, complex)
         at = int(pdf["a"].iloc[0])
-        x[pdf["b"].to_numpy()] = pdf["x"].to_numpy()
+        x[pdf["b"].to_numpy()] = pdf["x"].to_numpy() + 1j * pdf["y"].to_numpy()
         y = turn(x) * (b if inverse else 1) * np.exp(sign * 2j * np.pi * at * np.arange(b) / size)
         return pd.DataFrame({"a": at, "bin": np.arange(b), "re": y.real, "im": y.imag})
 
@@ -248,7 +283,7 @@ def long_transform(rows: DataFrame, n: int, padded: bool, inverse: bool) -> Data
         k = int(pdf["bin"].iloc[0]) + b * np.arange(a)
         return pd.DataFrame({"k": k, "re": z.real, "im": z.imag})[k < n]
 
-    cut = rows.select((F.col("_pos") % a).alias("a"), F.floor(F.col("_pos") / a).cast("long").alias("b"), "x")
+    cut = rows.select((F.col("_pos") % a).alias("a"), F.floor(F.col("_pos") / a).cast("long").alias("b"), "x", "y")
     bins = cut.groupBy("a").applyInPandas(first, "a long, bin long, re double, im double")
     return bins.groupBy("bin").applyInPandas(second, "k long, re double, im double")
 

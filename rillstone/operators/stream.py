@@ -161,8 +161,12 @@ class Stream:
         return self._with(rows.where(F.col(IDX) >= start), Index(stored=True))
 
     def skip(self, n: int) -> Stream:
-        """All but the first n; the rest keep their positions as indices."""
-        return self._kept(F.col("_pos") >= n)
+        """All but the first n; the rest keep their positions as indices. A few are found by their order alone, and nothing is numbered before somebody asks."""
+        if self.by or not 0 < n <= SMALL:
+            return self._kept(F.col("_pos") >= n)
+        here = ordering(self.order)
+        last = self.df.orderBy(*self.order).limit(n).agg(F.max(here)).scalar()
+        return self._with(self.df.drop(IDX).where(here > last), Index(shift=n))
 
     def _kept(self, keep: Column) -> Stream:
         rows = self.positioned().where(keep)

@@ -51,6 +51,17 @@ def test_long_transforms_are_the_short_ones(spark, n):
     assert np.allclose(spectrum(stats.long_transform(rows, n, True, True)), np.fft.ifft(x, p)[:n] * p / n)
 
 
+@pytest.mark.parametrize("n", [5, 61, 127])
+def test_transforms_of_prime_length(spark, n, monkeypatch):
+    x = np.random.default_rng(n).normal(size=n)
+    rows = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "_pos long, x double")
+    assert np.allclose(spectrum(stats.chirped_transform(rows, n, False)), np.fft.fft(x))
+    assert np.allclose(spectrum(stats.chirped_transform(rows, n, True)), np.fft.ifft(x))
+    monkeypatch.setattr(stats, "ONE_TASK", 4)
+    s = Stream.of(rows, "x", "_pos").to_statistics()
+    assert np.allclose(spectrum(s.dft()), np.fft.fft(x))
+
+
 def test_gradient(spark):
     s = sources.of(spark, 0.0, 0.0).to_statistics()
     assert np.allclose(s.gradient(lambda p: 2 * (p - np.array([1, 2])), 0.1), [1, 2], atol=1e-5)
