@@ -34,9 +34,9 @@ def known(charset: str) -> str:
     return name
 
 
-def swapped(b: Column) -> Column:
-    """Groups of four bytes in the other order; as letters of Latin-1, which each are one byte."""
-    return F.encode(F.regexp_replace(F.decode(b, "ISO-8859-1"), "(?s)(.)(.)(.)(.)", "$4$3$2$1"), "ISO-8859-1")
+def turned(b: Column) -> Column:
+    """The bytes from last to first; as letters of Latin-1, which each are one byte."""
+    return F.encode(F.reverse(F.decode(b, "ISO-8859-1")), "ISO-8859-1")
 
 
 def encode(s: Column, charset: str = "utf8") -> Column:
@@ -46,14 +46,17 @@ def encode(s: Column, charset: str = "utf8") -> Column:
         s = F.regexp_replace(s, r"[^\x00-\x7F]", "?")
     elif name == "latin1":
         s = F.regexp_replace(s, r"[^\x00-\xFF]", "?")
-    out = F.encode(s, NAMES[name])
-    return swapped(out) if name in ("utf32", "utf32le") else out
+    if name in ("utf32", "utf32le"):
+        return turned(F.encode(F.reverse(s), NAMES[name]))  # the letters are turned twice, the bytes of each once
+    return F.encode(s, NAMES[name])
 
 
 def decode_valid(b: Column, charset: str = "utf8") -> Column:
     """The text of bytes that are known to be valid; an error otherwise."""
     name = known(charset)
-    return F.decode(swapped(b) if name in ("utf32", "utf32le") else b, NAMES[name])
+    if name in ("utf32", "utf32le"):
+        return F.reverse(F.decode(turned(b), NAMES[name]))
+    return F.decode(b, NAMES[name])
 
 
 def sequence_length(first: int, charset: str) -> int:
