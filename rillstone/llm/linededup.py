@@ -33,6 +33,10 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(SPACES)), UPPER, LOWER)
 
 
+#: Of a batch's hashes: in one document and new, in several and new, held by an older run. A table has a folder for each.
+ALONE, SHARED, HELD = 0, 1, 2
+
+
 class LineRuns:
     """The levelled runs of one corpus. ``buckets`` is the number of parts that each run is dealt out to."""
 
@@ -43,29 +47,31 @@ class LineRuns:
 
     def run(self, name: str) -> DataFrame:
         """hash, first of a run."""
-        return self.spark.table(name).where(~F.col("held")).select("hash", "first")
+        return self.spark.table(name).where(F.col("kind") != HELD).select("hash", "first")
 
     def all_runs(self) -> list[DataFrame]:
         return [self.run(n) for level in self.levels for n in level]
 
     def write(self, rows: DataFrame) -> str:
-        """A table of hash, first, more, held (a folder each for those that an older run holds and the others)."""
+        """A table of hash, first, kind."""
         name = f"line_run_{uuid.uuid4().hex}"
         self.paths[name] = shared_dir(self.spark, name)
-        rows.repartition(self.buckets, "hash").write.format("parquet").option("path", self.paths[name]).option("compression", "zstd").partitionBy("held").bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(name)
+        rows.repartition(self.buckets, "hash").write.format("parquet").option("path", self.paths[name]).option("compression", "zstd").partitionBy("kind").bucketBy(self.buckets, "hash").sortBy("hash").saveAsTable(name)
         return name
 
-    def add(self, lines: DataFrame) -> DataFrame:
-        """Adds a batch of (hash, doc_id), whose documents follow those of the batches before. Returns hash, keeper of the hashes that lose lines of this batch, all but the keeper's."""
+    def add(self, lines: DataFrame, last: bool = False) -> DataFrame:
+        """Adds a batch of (hash, doc_id), whose documents follow those of the batches before. Returns hash, keeper of the hashes that lose lines of this batch, all but the keeper's. After the last batch nothing is merged."""
         new = lines.groupBy("hash").agg(F.min("doc_id").alias("first"), (F.min("doc_id") < F.max("doc_id")).alias("more"))
         older = []
         for k, run in enumerate(self.all_runs()):
             new = new.hint("merge").join(run.toDF("hash", f"_run{k}"), "hash", "left")
             older.append(F.col(f"_run{k}"))
         held = F.coalesce(*older) if older else F.lit(None).cast("long")
-        name = self.write(new.select("hash", F.coalesce(held, "first").alias("first"), "more", held.isNotNull().alias("held")))
-        self.place(name, 0)
-        return self.spark.table(name).where("held or more").select("hash", F.col("first").alias("keeper"))
+        kind = F.when(held.isNotNull(), HELD).when(F.col("more"), SHARED).otherwise(ALONE)
+        name = self.write(new.select("hash", F.coalesce(held, "first").alias("first"), kind.alias("kind")))
+        if not last:
+            self.place(name, 0)
+        return self.spark.table(name).where(F.col("kind") != ALONE).select("hash", F.col("first").alias("keeper"))
 
     def place(self, name: str, level: int) -> None:
         """Puts a run on a level, and merges the level into the next when it is full."""
@@ -77,7 +83,7 @@ class LineRuns:
             whole = self.run(full[0])
             for other in full[1:]:
                 whole = whole.unionAll(self.run(other))
-            self.place(self.write(whole.withColumns({"more": F.lit(False), "held": F.lit(False)})), level + 1)
+            self.place(self.write(whole.withColumn("kind", F.lit(ALONE))), level + 1)
 
     def drop(self) -> None:
         """Removes all tables and their files."""
@@ -108,7 +114,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     line = rows.select("doc_id", "row", batch.alias("batch"), F.explode(F.filter(keys, lambda x: F.length(x["key"]) >= least)).alias("x"))
     lines = written(line.select("doc_id", "row", F.col("x.at").alias("at"), F.unhex(F.md5(F.encode("x.key", "UTF-8"))).alias("hash"), "batch"), "lines", by="batch")
     runs = LineRuns(spark, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(lines.count() / PER_BUCKET)))
-    marks = [runs.add(lines.where(F.col("batch") == b).select("hash", "doc_id")).withColumn("batch", F.lit(b)) for b in range(len(bounds) + 1)]
+    marks = [runs.add(lines.where(F.col("batch") == b).select("hash", "doc_id"), b == len(bounds)).withColumn("batch", F.lit(b)) for b in range(len(bounds) + 1)]
     known = functools.reduce(DataFrame.unionAll, marks)
     lost = lines.join(known, ["batch", "hash"]).where("doc_id <> keeper")
     out = written(lost.groupBy("doc_id", "row").agg(F.collect_set("at").alias("drop")).withColumnRenamed("doc_id", "id"), "lost-lines")
