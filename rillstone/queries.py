@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import io
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -141,10 +142,19 @@ def blob_bytes(spark, sf_dir):
     return p.select("p_partkey", F.posexplode(text.byte_values(F.col("p_name"))).alias("pos", "byte")).select("p_partkey", long_("pos").alias("pos"), "byte")
 
 
+def shared(spark: SparkSession, name: str) -> str:
+    """A new folder's path where driver and executors can both read it; on one machine, a temporary one if none is named."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="rillstone-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def file_of(spark: SparkSession, rows: DataFrame) -> str:
-    """A folder with one text file, a line for each row of a column of texts, where the cluster can read it."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillstone-")
-    path = f"{base.rstrip('/')}/lines-{uuid.uuid4().hex}"
+    """A folder with one text file, a line for each row of a column of texts."""
+    path = shared(spark, "lines")
     rows.coalesce(1).write.text(path)
     return path
 
@@ -978,8 +988,8 @@ def live_running(spark, sf_dir):
 @query("SELECT count(*) AS n, CAST(sum(user_id) AS BIGINT) AS total FROM events")
 def live_terminals(spark, sf_dir):
     """Terminals of the batch library over each micro-batch."""
-    seen, base = [], spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rillstone-")
-    q = streaming.foreach_batch(live_events(spark, sf_dir), "user_id", "event_id", lambda o, _: seen.append((o.count().first()[0], o.summate().first()[0])), f"{base.rstrip('/')}/live-{uuid.uuid4().hex}")
+    seen = []
+    q = streaming.foreach_batch(live_events(spark, sf_dir), "user_id", "event_id", lambda o, _: seen.append((o.count().first()[0], o.summate().first()[0])), shared(spark, "live"))
     q.processAllAvailable()
     q.stop()
     return spark.createDataFrame([(sum(n for n, _ in seen), sum(t for _, t in seen))], "n long, total long")

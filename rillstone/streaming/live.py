@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,15 +42,18 @@ def count_windows(df: DataFrame, key: str, value: str, size: int, order: str) ->
 
     def fold(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         window, n, total = state.get if state.exists else (0, 0, 0.0)
-        whole = pd.concat(list(batches)).sort_values("_order", kind="stable")["_value"].to_numpy()
-        out = []
-        for v in whole:
-            n, total = n + 1, total + float(v)
-            if n == size:
-                out.append((k[0], window, n, total, total / n))
-                window, n, total = window + 1, 0, 0.0
-        state.update((window, n, total))
-        yield pd.DataFrame(out, columns=["key", "window", "n", "sum", "average"])
+        whole = pd.concat(list(batches)).sort_values("_order", kind="stable")["_value"].to_numpy(dtype=float)
+        # the open window first, then whole ones, then what opens the next
+        cut = min(len(whole), size - n)
+        n, total = n + cut, total + float(whole[:cut].sum())
+        sums = np.zeros(0)
+        if n == size:
+            full = (len(whole) - cut) // size
+            sums = np.concatenate([[total], whole[cut : cut + full * size].reshape(full, size).sum(axis=1)])
+            rest = whole[cut + full * size :]
+            n, total = len(rest), float(rest.sum())
+        state.update((window + len(sums), n, total))
+        yield pd.DataFrame({"key": [k[0]] * len(sums), "window": window + np.arange(len(sums)), "n": size, "sum": sums, "average": sums / size})
 
     rows = df.select(F.col(key).alias("key"), F.col(value).cast("double").alias("_value"), F.col(order).alias("_order"))
     return rows.groupBy("key").applyInPandasWithState(fold, f"key {kind}, window long, n long, sum double, average double", "window long, n long, total double", "append", GroupStateTimeout.NoTimeout)

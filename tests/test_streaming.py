@@ -33,6 +33,21 @@ def test_count_windows(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("size", [1, 7, 40, 1000])
+def test_count_windows_go_on_over_batches(spark, tmp_path, size):
+    path = str(tmp_path / "events")
+    for k, n in enumerate((30, 3, 90, 1, 50)):
+        spark.range(n).select((F.col("id") + 1000 * k).alias("at"), (F.col("id") % 2).alias("key"), (F.col("id") * 3 + k).cast("double").alias("v")).coalesce(1).write.mode("append").parquet(path)
+    rows = [(r["at"], r["key"], r["v"]) for r in spark.read.parquet(path).orderBy("at").collect()]
+    df = spark.readStream.schema("at long, key long, v double").option("maxFilesPerTrigger", 1).parquet(path)
+    got = {(r["key"], r["window"]): (r["n"], r["sum"], r["average"]) for r in drained(count_windows(df, "key", "v", size, "at"), f"over_batches_{size}", "append")}
+    want = {}
+    for key in (0, 1):
+        v = [x for _, k, x in rows if k == key]
+        want |= {(key, w): (size, sum(v[w * size : w * size + size]), sum(v[w * size : w * size + size]) / size) for w in range(len(v) // size)}
+    assert got == want
+
+
 def test_event_windows(spark):
     rows = drained(event_windows(live(spark), "ts", "1 hour", "1 day", None, ["event_type"], F.count("*").alias("n")), "timed", "complete")
     assert sum(r["n"] for r in rows) == spark.read.parquet(f"{SF}/events.parquet").count()
