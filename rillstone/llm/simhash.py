@@ -462,7 +462,9 @@ def near_groups(docs: DataFrame, similarity: float = SIMILAR, shingle: int = SHI
     dropped(keys)
     part = F.xxhash64("key", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK)))
     parts = met.withColumn("key", F.when(F.col("n") > BLOCK, part).otherwise(F.col("key")))
-    edges = verified(written(bucket_edges(parts.join(nodes.select("node", "sketch"), "node"), APART), "wide-edges"), whole, similarity, shingle)
+    spanned = written(bucket_edges(parts.join(nodes.select("node", "sketch"), "node"), APART), "wide-edges")
+    edges = verified(spanned, whole, similarity, shingle)
+    dropped(spanned)
     linked, failed = edges.where("near").select("a", "b"), edges.where("not near")
     found = components(linked, "near-components").withColumnRenamed("component", "group")
     # a bucket whose nodes are one group has nothing left
